@@ -1,6 +1,6 @@
 """Training-data operators. Nothing outside this subpackage imports it."""
 
-MODULES = ("chat",)
+MODULES = ("chat", "secrets", "pii")
 
 
 def _modules():
