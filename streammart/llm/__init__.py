@@ -1,6 +1,6 @@
 """Training-data operators. Nothing outside this subpackage imports it."""
 
-MODULES = ("chat", "secrets", "pii", "compression")
+MODULES = ("chat", "secrets", "pii", "compression", "bpe")
 
 
 def _modules():
