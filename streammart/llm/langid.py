@@ -33,7 +33,7 @@ NAME = "op2_language_centroids"
 SQL = None
 MAX_N, DIMENSIONS, CENTROIDS, ROUNDS = 3, 1 << 13, 12, 8
 SAMPLE_ROWS = 3000
-REJECT_QUANTILE, MARGIN, SHORT = 0.01, 0.2, 4.0
+REJECT_QUANTILE, MARGIN, SHORT = 0.01, 0.2, 6.0
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint32)
