@@ -1,6 +1,6 @@
 """Training-data operators. Nothing outside this subpackage imports it."""
 
-MODULES = ("chat", "secrets", "pii", "compression", "bpe", "mixing", "langid", "topk", "jaccard")
+MODULES = ("chat", "secrets", "pii", "compression", "bpe", "mixing", "langid", "topk", "jaccard", "suffix")
 
 
 def _modules():
