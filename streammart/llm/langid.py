@@ -160,6 +160,23 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     ).mapInArrow(run, SCHEMA)
 
 
+def labelled(docs: DataFrame, model: dict) -> DataFrame:
+    """``docs`` with lang_pred, score and rejected beside its own columns, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in sliced(batches):
+            found = predicted(known, [x.as_py() or "" for x in batch.column("text")])
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, "lang_pred", "score", "rejected"])
+
+    kept = docs.select(*(F.col(f"`{c}`") for c in names))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs, trained(docs))

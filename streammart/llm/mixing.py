@@ -33,6 +33,8 @@ NAME = "op7_mix_sources"
 WEIGHTS = (5, 2, 1)
 RATE, MOST, BUCKETS = 1.5, 2.0, 1024
 GOOD, BAD = 2.0, 0.5
+#: Tables of so many rows (some tens of bytes each) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1 << 19
 
 
 def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -148,6 +150,25 @@ def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The mixture itself: rows of ``docs``, each as many times as it is taken.
+
+    Rows that share a doc_id and a source are taken the same number of times: the most of any of them.
+    """
+    taken = (
+        mix(docs, labels)
+        .filter("epochs > 0")
+        .groupBy(F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"))
+        .agg(F.max("epochs").alias("epochs"))
+    )
+    taken = staged(taken, "taken")
+    few = taken.count() <= BROADCAST_ROWS
+    right = F.broadcast(taken) if few else taken
+    on = same(F.col("doc_id"), F.col("taken_id")) & same(F.col("source"), F.col("taken_source"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))).alias("copy")
+    return docs.join(right, on).select(*(F.col(f"`{c}`") for c in docs.columns), copies).drop("copy")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "size", "source_size", "target", "taken"
