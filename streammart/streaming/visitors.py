@@ -82,7 +82,7 @@ class Bounces(StatefulProcessor):
                 ms = int(ts.timestamp() * 1000)
                 self.waiting.appendValue((ms, page, before in EMPTY or pd.isna(before)))
                 self.handle.registerTimer(ms + 1)
-        yield pd.DataFrame({"mid": pd.Series(dtype=str), "page_id": pd.Series(dtype=str), "ts_ms": pd.Series(dtype="int64")})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
@@ -106,7 +106,8 @@ class Bounces(StatefulProcessor):
         else:
             self.open.update(held)
             self.handle.registerTimer(held[0] + self.limit_ms)
-        yield pd.DataFrame({"mid": [key[0]] * len(out), "page_id": [x[1] for x in out], "ts_ms": [x[0] for x in out]}).astype({"ts_ms": "int64"})
+        if out:
+            yield pd.DataFrame({"mid": [key[0]] * len(out), "page_id": [x[1] for x in out], "ts_ms": [x[0] for x in out]})
 
 
 def bounces(pages: DataFrame, limit_ms: int = 10_000) -> DataFrame:
