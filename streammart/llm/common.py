@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of whole texts that go to a Python worker at once; Spark's default of 10,000 holds tens of MB
+#: on either side of the pipe for every running task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size if it is the default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,4 +61,5 @@ def drop_staged(df: DataFrame) -> None:
 
 def with_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` reduced to ``columns``; absent ones are null strings."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])

@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streammart.llm.common import drop_staged, staged
+from streammart.llm.tokens import lean
+
+
+#: Links that one task may join by itself (some tens of MB); more are spread and then contracted.
+PART = 250_000
 
 
 def _forest(batches):
@@ -24,7 +29,7 @@ def _forest(batches):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > 500_000:  # what the task holds stays bounded; later rounds join the parts
+        if len(parent) > 2 * PART:  # what the task holds stays bounded; later rounds join the parts
             stars = [(x, root(x)) for x in parent]
             parent.clear()
             yield _batch(stars)
@@ -55,7 +60,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) long pairs -> (node, root): root is the least node of the component; linked nodes only."""
-    edges = staged(links.select("a", "b").mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    parts = 1 + links.count() // PART
+    forest = links.select("a", "b").coalesce(parts).mapInArrow(lean(_forest), "u long, v long")
+    if parts == 1:  # few enough links for one task: its forest is the answer
+        return staged(forest, "edges").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    edges = staged(forest.distinct(), "edges")
     before = None
     while True:
         after = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()

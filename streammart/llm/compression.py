@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from streammart.llm.common import table
-from streammart.llm.tokens import sliced
+from streammart.llm.tokens import lean, sliced
 
 NAME = "op3_compression_bands"
 SQL = None
@@ -103,7 +103,7 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rules(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> the base figures, base_failed, kept and the method's own figures."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(judged, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(judged), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

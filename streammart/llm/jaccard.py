@@ -4,10 +4,10 @@ Documents are sets of hashed word shingles; equal sets are one node. Two sets of
 or more share a token within their prefixes (the first n - ceil(s n) + 1 tokens) under EVERY global
 token order, so a candidate pair must share a prefix token under all of ``ORDERS`` orders before its
 sets are compared. All orders put tokens that many documents hold last, by their counts; they order
-the rest differently. The first order's prefixes are indexed by token; in a token's bucket, sorted by
-set size, nearby sets are paired first and components are contracted, so that a group of thousands of
-near copies gives links along it and not all its pairs; later waves pair what stands farther apart and
-isn't yet connected, until every bucket is exhausted. Size and position bounds, the other orders and a
+the rest differently. The first order's prefixes are indexed by token; in a token's bucket, the sets
+with the fewest rarer tokens are hubs: all others are paired with them first and components are
+contracted, so that a group of thousands of near copies gives about two links each and not all its
+pairs; a second wave pairs what still isn't connected. Size and position bounds, the other orders and a
 parity bitmap (its differing bits never exceed the sets' difference) prune pairs without loss; then
 the sets themselves decide.
 
@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 
 from streammart.llm.common import drop_staged, staged, table
 from streammart.llm.components import components
-from streammart.llm.tokens import sliced
+from streammart.llm.tokens import lean, sliced
 
 NAME = "op4_jaccard_orders"
 SQL = None
 WORDS, PERCENT, ORDERS = 4, 85, 3
 #: Frequent tokens: at most so many, with at least so many copies counted within partitions.
 HOT_TOKENS, HOT_COPIES = 200_000, 16
-#: Distances within a sorted bucket that each wave pairs.
-WAVES = ((1, 4), (5, 256), (257, 1 << 40))
+#: Rows of a bucket that each wave pairs with all after them, from and to.
+WAVES = ((0, 2), (2, 1 << 40))
 #: Keys up to this number are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1 << 19
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -52,7 +52,7 @@ class Hashes(dict):
     """word -> 64-bit hash, each word hashed once while it stays in the table."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -150,7 +150,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             )
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return rows.mapInArrow(run, "doc_id long, n long, node long, bits binary, tokens binary")
+    return rows.mapInArrow(lean(run), "doc_id long, n long, node long, bits binary, tokens binary")
 
 
 def _copies(batches):
@@ -167,7 +167,7 @@ def _copies(batches):
                 seen.add(node)
                 parts.append(unpacked(raw.as_py()))
                 held += len(parts[-1])
-        if held > 4_000_000:
+        if held > 1_000_000:
             yield counted(parts)
             parts, held, seen = [], 0, set()
     if parts:
@@ -178,7 +178,7 @@ def hot_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens, ascending, and the rank of each by count: a bounded list."""
     rows = (
         found.select("node", "tokens")
-        .mapInArrow(_copies, "token long, copies long")
+        .mapInArrow(lean(_copies), "token long, copies long")
         .groupBy("token")
         .agg(F.sum("copies").alias("copies"))
         .filter(F.col("copies") >= HOT_COPIES)
@@ -222,7 +222,7 @@ def prefixes(found: DataFrame, hot, percent: int) -> DataFrame:
             ["token", "n", "node", "pos"],
         )
 
-    return found.select("n", "node", "tokens").mapInArrow(run, "token long, n int, node long, pos int")
+    return found.select("n", "node", "tokens").mapInArrow(lean(run), "token long, n int, node long, pos int")
 
 
 def _grouped(batches, columns):
@@ -260,34 +260,51 @@ def members(index: DataFrame, percent: int) -> DataFrame:
                     ["token", "n", "node", "pos", "size"],
                 )
 
-    return index.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(
-        run, "token long, n int, node long, pos int, size long"
+    return index.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lean(run), "token long, n int, node long, pos int, size long"
     )
 
 
 def paired(rows: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """Pairs (a < b) of one bucket at a distance of low to high in its order, in different components."""
+    """Pairs (a < b) of a bucket's hubs, its low-th to high-th rows, with the rows after them.
+
+    Rows are in order of position: those with the fewest rare tokens of their own come first, and a
+    group's common core leads. At the first token that two sets share, all tokens before it differ, so
+    the two positions together can't exceed the difference that linked sets of these sizes may have.
+    Pairs within one component are left out.
+    """
 
     def run(batches):
         for x in _grouped(batches, ("token", "n", "node", "pos", "root")):
-            n, pos = x["n"].astype(np.int64), x["pos"]
-            total, far = len(n), int(np.unique(x["token"], return_counts=True)[1].max())
-            for d in range(low, min(high, far - 1, total - 1) + 1):
-                small, large = slice(0, total - d), slice(d, total)
-                need = least_overlap(n[small], n[large], percent)
+            n, pos = x["n"].astype(np.int64), x["pos"].astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1]]))
+            size = np.diff(np.append(cuts, len(n)))
+            at = np.arange(len(n))
+            start = np.repeat(cuts, size)
+            for r in range(low, min(high, int(size.max()) - 1)):
+                at, start = at[start + r < at], start[start + r < at]
+                hub = start + r
+                # Positions only rise: a hub that leaves no room for an equal position has no partner left.
+                open_ = 2 * pos[hub] <= n[hub] + n[at] - 2 * least_overlap(n[hub], n[at], percent)
+                busy = np.zeros(len(n), bool)
+                busy[start[open_]] = True
+                at, start = at[busy[start]], start[busy[start]]
+                if not len(at):
+                    break
+                hub = start + r
+                need = least_overlap(n[hub], n[at], percent)
                 ok = (
-                    (x["token"][small] == x["token"][large])
-                    & (x["root"][small] != x["root"][large])
-                    & (100 * n[small] >= percent * n[large])
-                    & (pos[small] <= n[small] - need)
-                    & (pos[large] <= n[large] - need)
+                    (x["root"][hub] != x["root"][at])
+                    & (100 * np.minimum(n[hub], n[at]) >= percent * np.maximum(n[hub], n[at]))
+                    & (pos[hub] + pos[at] <= n[hub] + n[at] - 2 * need)
+                    & (pos[hub] <= n[hub] - need)
+                    & (pos[at] <= n[at] - need)
                 )
                 if ok.any():
-                    a, b = x["node"][small][ok], x["node"][large][ok]
+                    a, b = x["node"][hub[ok]], x["node"][at[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    sorted_rows = rows.repartition("token").sortWithinPartitions("token", "n", "node")
-    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+    sorted_rows = rows.repartition("token").sortWithinPartitions("token", "pos", "node")
+    return sorted_rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _needed(found: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
@@ -335,8 +352,8 @@ def verified(pairs: DataFrame, found: DataFrame, hot, percent: int) -> DataFrame
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
-    close = staged(both(pairs, _needed(found, pairs, ["n", "bits"])).mapInArrow(by_bitmap, "a long, b long"), "close")
-    return both(close, _needed(found, close, ["tokens"])).mapInArrow(by_sets, "a long, b long")
+    close = staged(both(pairs, _needed(found, pairs, ["n", "bits"])).mapInArrow(lean(by_bitmap), "a long, b long"), "close")
+    return both(close, _needed(found, close, ["tokens"])).mapInArrow(lean(by_sets), "a long, b long")
 
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -349,9 +366,9 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     roots = spark.createDataFrame([], "node long, root long")
     largest = held.agg(F.max("size")).first()[0] or 0
     for low, high in WAVES:
-        if largest <= low:
+        if largest <= low + 1:
             break
-        rows = held.filter(F.col("size") > low).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = held.filter(F.col("size") > low + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         pairs = staged(paired(rows, low, high, percent), "pairs")
         new = staged(verified(pairs, found, hot, percent), "links")
         drop_staged(pairs)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streammart.llm.common import table
-from streammart.llm.tokens import sliced
+from streammart.llm.tokens import lean, sliced
 
 NAME = "op2_language_centroids"
 SQL = None
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(run, SCHEMA)
+    ).mapInArrow(lean(run), SCHEMA)
 
 
 def labelled(docs: DataFrame, model: dict) -> DataFrame:
@@ -174,7 +174,7 @@ def labelled(docs: DataFrame, model: dict) -> DataFrame:
 
     kept = docs.select(*(F.col(f"`{c}`") for c in names))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return kept.mapInArrow(lean(run), f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

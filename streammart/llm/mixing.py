@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streammart.llm.common import staged, table
-from streammart.llm.tokens import sliced
+from streammart.llm.tokens import lean, sliced
 
 NAME = "op7_mix_sources"
 WEIGHTS = (5, 2, 1)
@@ -48,7 +48,7 @@ def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
             )
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, "text").mapInArrow(count, f"{schema}, size long")
+    return docs.select(*keep, "text").mapInArrow(lean(count), f"{schema}, size long")
 
 
 def draw(doc_id: Column, quality: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
 #: Rows are handled in slices of about so many bytes of text, whatever the batch size.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
@@ -23,3 +25,21 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, whole)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow; when its task ends, what it held goes back to the system.
+
+    Python workers wait for further tasks beside the executor's heap, so what they keep counts.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to trim
+            pass
+
+    return wrapped
