@@ -29,14 +29,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streammart.llm.common import staged, table
+from streammart.llm.tokens import lean
 
 NAME = "op6_prefix_free_dedup"
 LENGTH, GRAM = 50, 16
-SLICE, FLUSH, BITS = 2 << 20, 1 << 20, 26
+SLICE, FLUSH, BITS = 1 << 19, 1 << 19, 26
 #: Interval tables up to this size are broadcast to the last pass; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -134,6 +136,21 @@ def _cuts(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]])
 
 
+def _by_bucket(batches):
+    """Rows sorted by bucket -> (bucket, its rows), one bucket at a time."""
+    bucket, rows = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: v[0] for c, v in batch.slice(i, 1).to_pydict().items()}
+            if row["bucket"] != bucket and rows:
+                yield bucket, rows
+                rows = []
+            bucket = row["bucket"]
+            rows.append(row)
+    if rows:
+        yield bucket, rows
+
+
 def repeated_triggers(docs: DataFrame, bits: int) -> np.ndarray:
     """Bitmap of the triggers that two documents or more hold, by their leading BITS bits."""
 
@@ -169,14 +186,12 @@ def repeated_triggers(docs: DataFrame, bits: int) -> np.ndarray:
             yield flush()
 
     def meet(batches):
-        found: dict[int, list] = {}
-        for batch in batches:
-            for b, low, ids, doc in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "ids", "doc")), strict=True):
-                low, ids = np.frombuffer(low, np.uint32), np.frombuffer(ids, np.int64)
-                doc = np.frombuffer(doc, np.uint16 if len(ids) <= 1 << 16 else np.uint32)
-                found.setdefault(b, []).append((low, ids[doc]))
-        for b in list(found):
-            parts = found.pop(b)
+        for b, rows in _by_bucket(batches):
+            parts = []
+            for row in rows:
+                ids = np.frombuffer(row["ids"], np.int64)
+                doc = np.frombuffer(row["doc"], np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+                parts.append((np.frombuffer(row["low"], np.uint32), ids[doc]))
             low, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.argsort(low, kind="stable")
             low, doc = low[order], doc[order]
@@ -186,8 +201,8 @@ def repeated_triggers(docs: DataFrame, bits: int) -> np.ndarray:
             if len(places):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([places.astype(np.uint32).tobytes()], pa.binary())], ["bucket", "places"])
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "bucket long, low binary, ids binary, doc binary")
-    rows = sent.repartition("bucket").mapInArrow(meet, "bucket long, places binary")
+    sent = docs.select("doc_id", "text").mapInArrow(lean(send), "bucket long, low binary, ids binary, doc binary")
+    rows = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "bucket long, places binary")
 
     def folded(batches):  # as bits, so that what reaches the driver is bounded by the bitmap
         for batch in batches:
@@ -197,7 +212,7 @@ def repeated_triggers(docs: DataFrame, bits: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())], ["bucket", "bits"])
 
     out = np.zeros((1 << bits, (1 << (BITS - bits)) // 8), np.uint8)
-    for b, raw in rows.mapInArrow(folded, "bucket long, bits binary").toLocalIterator():
+    for b, raw in rows.mapInArrow(lean(folded), "bucket long, bits binary").toLocalIterator():
         out[b] = np.frombuffer(raw, np.uint8)
     return out.ravel()
 
@@ -205,7 +220,7 @@ def repeated_triggers(docs: DataFrame, bits: int) -> np.ndarray:
 def phrases(docs: DataFrame, bitmap, bits: int) -> DataFrame:
     """Dictionary and parse of the phrases under repeated triggers, by trigger bucket.
 
-    Bucket -1 carries copies found within a task: whole texts to be removed.
+    Negative buckets carry copies found within a task: whole texts to be removed.
     """
 
     def send(batches):
@@ -239,7 +254,7 @@ def phrases(docs: DataFrame, bitmap, bits: int) -> DataFrame:
                 i, h, size = (np.array(x, np.int64) for x in zip(*copies, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([-1], pa.int64()),
+                        pa.array([-1 - TaskContext.get().partitionId()], pa.int64()),
                         *(pa.array([x], pa.binary()) for x in (b"", b"", i.tobytes(), h.tobytes(), b"", size.tobytes(), b"")),
                     ],
                     ["bucket", "trigger", "phrase", "id", "hash", "start", "count", "content"],
@@ -263,14 +278,14 @@ def phrases(docs: DataFrame, bitmap, bits: int) -> DataFrame:
                 }
             )
             rows += len(ok)
-            if rows >= FLUSH // 4:
+            if rows >= FLUSH // 4:  # phrases carry their bytes
                 yield flush()
                 held, rows = [], 0
         if held:
             yield flush()
 
     schema = ", ".join(f"{c} binary" for c in ("trigger", "phrase", "id", "hash", "start", "count", "content"))
-    return docs.select("doc_id", "text").mapInArrow(send, f"bucket long, {schema}")
+    return docs.select("doc_id", "text").mapInArrow(lean(send), f"bucket long, {schema}")
 
 
 def _removed(parts: list[dict]) -> tuple[np.ndarray, ...]:
@@ -325,7 +340,6 @@ def removals(found: DataFrame, shares: int) -> DataFrame:
 
     def solve(batches):
         zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        buckets: dict[int, list] = {}
 
         def send(got):
             share = (mix(got[1].astype(np.uint64)) % np.uint64(shares)).astype(np.int64)
@@ -335,17 +349,18 @@ def removals(found: DataFrame, shares: int) -> DataFrame:
             rows = [zip_.compress(np.stack([g[i:j] for g in got]).tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(share[cuts[:-1]]), pa.array(rows, pa.binary())], ["share", "runs"])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] < 0:
+        held, rows = [], 0
+        for b, some in _by_bucket(batches):
+            if b < 0:
+                for row in some:
                     i, h, size = (np.frombuffer(row[c], np.int64) for c in ("id", "hash", "count"))
                     yield send([i, h, np.zeros(len(i), np.int64), size])
-                    continue
+                continue
+            parts = []
+            for row in some:
                 part = {c: np.frombuffer(unzip.decompress(row[c]) if c in ("id", "hash") else row[c], kind) for c, kind in kinds.items()}
-                buckets.setdefault(row["bucket"], []).append(part | {"content": row["content"]})
-        held, rows = [], 0
-        for b in list(buckets):
-            got = _removed([p | {"content": unzip.decompress(p["content"])} for p in buckets.pop(b)])
+                parts.append(part | {"content": unzip.decompress(row["content"])})
+            got = _removed(parts)
             if got:
                 held.append(got)
                 rows += len(got[0])
@@ -380,8 +395,8 @@ def removals(found: DataFrame, shares: int) -> DataFrame:
             some = slice(k, k + 20_000)
             yield pa.RecordBatch.from_arrays([pa.array(ids[at][some]), pa.array(h[at][some]), pa.array(spans[some], pa.binary())], ["doc_id", "hash", "spans"])
 
-    runs = found.repartition("bucket").mapInArrow(solve, "share long, runs binary")
-    return runs.repartition("share").mapInArrow(merge, "doc_id long, hash long, spans binary")
+    runs = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(solve), "share long, runs binary")
+    return runs.repartition("share").mapInArrow(lean(merge), "doc_id long, hash long, spans binary")
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
@@ -421,10 +436,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    rows = docs.mapInArrow(hashed, "doc_id long, text string, hash long")
+    rows = docs.mapInArrow(lean(hashed), "doc_id long, text string, hash long")
     side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
-    return rows.join(side, ["doc_id", "hash"], "left").select("doc_id", "text", "spans").mapInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    return rows.join(side, ["doc_id", "hash"], "left").select("doc_id", "text", "spans").mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
 
