@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streammart.llm.common import table
-from streammart.llm.tokens import sliced
+from streammart.llm.tokens import lean, sliced
 
 NAME = "op8_bpe_word_table"
 SQL = None
 FILE = "word_bpe_49k.json"
 #: Words the table of a partition holds before those absent from the rows at hand leave it.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 #: ASCII punctuation but the apostrophe, which begins pre-tokens with letters.
 PUNCTUATION = string.punctuation.replace("'", "")
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -146,7 +146,7 @@ def encode(docs: DataFrame, file: str = FILE) -> DataFrame:
                 [batch.column("doc_id"), ids, pa.array([x[2] for x in found], pa.string())], ["doc_id", "ids", "decoded"]
             )
 
-    return _input(docs).mapInArrow(rows, "doc_id long, ids array<int>, decoded string")
+    return _input(docs).mapInArrow(lean(rows), "doc_id long, ids array<int>, decoded string")
 
 
 def _input(docs: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def digests(docs: DataFrame, file: str = FILE) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return _input(docs).mapInArrow(rows, DIGESTS)
+    return _input(docs).mapInArrow(lean(rows), DIGESTS)
 
 
 def word_table(docs: DataFrame, file: str = FILE) -> DataFrame:
@@ -196,8 +196,8 @@ def word_table(docs: DataFrame, file: str = FILE) -> DataFrame:
                 [batch.column("word"), batch.column("n"), pa.array([x.ids for x in found], pa.list_(pa.int32()))], ["word", "n", "ids"]
             )
 
-    words = _input(docs).select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    coded = words.mapInArrow(ids, "word string, n long, ids array<int>")
+    words = _input(docs).select("text").mapInArrow(lean(counted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    coded = words.mapInArrow(lean(ids), "word string, n long, ids array<int>")
     pieces = F.broadcast(spark.createDataFrame(sorted(tokenizer(file).get_vocab().items()), "piece string, id int"))
     decoded = (
         coded.select("word", F.posexplode("ids").alias("at", "id"))
