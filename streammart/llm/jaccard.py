@@ -30,7 +30,6 @@ from streammart.llm.components import components
 from streammart.llm.tokens import lean, sliced
 
 NAME = "op4_jaccard_orders"
-SQL = None
 WORDS, PERCENT, ORDERS = 4, 85, 3
 #: Frequent tokens: at most so many, with at least so many copies counted within partitions.
 HOT_TOKENS, HOT_COPIES = 200_000, 16
@@ -387,3 +386,25 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+  FROM d
+), n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+links AS (
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.rid != y.rid GROUP BY ALL)
+  JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), reach AS (
+  SELECT rid AS a, rid AS b FROM d
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (rid) JOIN reach ON reach.a = d.rid JOIN d o ON o.rid = reach.b GROUP BY d.rid, d.doc_id, n.n
+"""
