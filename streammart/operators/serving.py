@@ -109,5 +109,12 @@ def hours_json(hours: DataFrame) -> DataFrame:
     return _reply(hours, F.struct(F.transform(rows, lambda r: r["hr"]).alias("categories"), F.array(line("uv_ct", "uv"), line("pv_ct", "pv"), line("new_uv", "new")).alias("series")))
 
 
+def visitor_json(pivot: DataFrame) -> DataFrame:
+    """A table with a row per measure and a column for new and returning visitors."""
+    rows = _all("measure", "new_visitors", "old_visitors")
+    columns = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(n).alias("id")) for n in ("measure", "new_visitors", "old_visitors")))
+    return _reply(pivot, F.struct(columns.alias("columns"), rows.alias("rows")))
+
+
 def scalar_json(one: DataFrame, column: str) -> DataFrame:
     return one.select(F.to_json(F.struct(F.lit(0).alias("status"), F.coalesce(column, F.lit(0)).alias("data"))).alias("json"))

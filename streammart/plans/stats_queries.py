@@ -265,6 +265,7 @@ _reply("reply_trademark", lambda e: serving.series_json(serving.top_groups(sales
 _reply("reply_category", lambda e: serving.pairs_json(serving.top_groups(sales(e), "category3_id", 20), "category3_id", "order_amount"))
 _reply("reply_spu", lambda e: serving.table_json(serving.top_groups(sales(e), "spu_id", 20, F.count_distinct("order_id").alias("order_ct")), "spu_id"))
 _reply("reply_province", lambda e: serving.map_json(serving.by_province(province_rows(e).withColumnRenamed("amount", "order_amount"))))
+_reply("reply_visitor", lambda e: serving.visitor_json(serving.visitor_pivot(visitor_rows(e))))
 _reply("reply_hour", lambda e: serving.hours_json(serving.every_hour(_hourly(e))))
 _reply("reply_keyword", lambda e: serving.pairs_json(keywords.weighted(stats.keyword_stats(keywords.tokenized(keywords.searched(searches(e))), "1 day"), 20), "keyword", "ct"))
 
