@@ -151,10 +151,10 @@ def _(e):
 )
 def _(e):
     sums = promotions.promotion_sums(promotions.matching_coupons(_user_details(e), _coupons(e)), "coupon_id", "amount", "sku_num", "sku_id")
-    level = F.floor(F.col("id") / 2).cast("long")
-    rules = e.spark.range(1, 7).select(F.col("id").alias("rule_id"), level.alias("benefit_level"), (level * 20000).alias("condition_amount"), (level * 10).alias("condition_num"))
-    per_coupon = e.table("customer").select(F.col("c_custkey").alias("coupon_id")).crossJoin(F.broadcast(rules))  # six rules a coupon
-    return promotions.best_rule(sums, per_coupon, "coupon_id").select("coupon_id", "rule_id", "benefit_level")
+    level = F.floor(F.col("rule_id") / 2).cast("long")
+    rules = e.table("customer").select(F.col("c_custkey").alias("coupon_id"), F.explode(F.expr("sequence(1L, 6L)")).alias("rule_id"))
+    rules = rules.select("*", level.alias("benefit_level"), (level * 20000).alias("condition_amount"), (level * 10).alias("condition_num"))
+    return promotions.best_rule(sums, rules, "coupon_id").select("coupon_id", "rule_id", "benefit_level")
 
 
 _LINES = "line, sku_id, amount, sku_num, supplier_id, ts, discount, tax"
