@@ -194,6 +194,14 @@ def test_top_k(spark, seed, monkeypatch):
     assert sorted(map(tuple, got)) == top_by_hand([(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows], 10, 10)
 
 
+def test_top_k_many_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=1 + i % 12).astype(np.float32).tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.search(df, every=10).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == top_by_hand([(i, list(map(np.float32, v))) for i, v in rows], 10, 10)
+
+
 def test_top_k_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(df, every=100).collect()] == [(0, 1, 1, 2048 * 1024)]
