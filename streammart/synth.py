@@ -6,20 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Session paths with their weights.
+from streammart.functions.scalars import brand
+
+# Session paths, device attributes and search words, with their weights.
 PATHS = (
     (("home", "good_list", "good_detail", "cart", "trade", "payment"), 20),
     (("home", "search", "good_list", "good_detail", "login", "good_detail", "cart", "trade", "payment"), 50),
     (("home", "mine", "orders_unpaid", "trade", "payment"), 10),
-    (("home", "mine", "orders_unpaid", "good_detail", "good_spec", "comments", "trade", "payment"), 5),
-    (("home", "mine", "orders_unpaid", "good_detail", "good_spec", "comments", "home"), 5),
+    (("home", "mine", "orders_unpaid", "good_detail", "good_spec", "comment", "trade", "payment"), 5),
+    (("home", "mine", "orders_unpaid", "good_detail", "good_spec", "comment", "home"), 5),
     (("home", "good_detail"), 70),
     (("home",), 10),
 )
-AREAS = ("110000", "310000", "370000", "420000", "440000", "500000", "530000", "230000")
-CHANNELS = ("xiaomi", "oppo", "wandoujia", "web", "vivo", "huawei", "Appstore")
-VERSIONS = ("v2.1.134", "v2.1.132", "v2.1.111", "v2.0.1")
-#: Order states.
+AREAS = (("110000", 30), ("310000", 20), ("230000", 10), ("370000", 10), ("420000", 5), ("440000", 20), ("500000", 5), ("530000", 5))
+MODELS = (
+    ("Xiaomi 9", 30), ("Xiaomi 10 Pro", 30), ("Xiaomi Mix2", 30), ("iPhone X", 20), ("iPhone 8", 20), ("iPhone Xs", 20), ("iPhone Xs Max", 20),
+    ("Huawei P30", 10), ("Huawei Mate 30", 10), ("Redmi k30", 10), ("Honor 20s", 5), ("vivo iqoo3", 20), ("Oneplus 7", 5), ("Sumsung Galaxy S20", 3),
+)
+CHANNELS = (("xiaomi", 30), ("wandoujia", 10), ("web", 10), ("huawei", 5), ("oppo", 20), ("vivo", 5), ("360", 5))
+SYSTEMS = (("11.0", 70), ("10.0", 20), ("9.0", 5), ("8.1", 5))
+APPLE_SYSTEMS = (("13.3.1", 30), ("13.2.9", 10), ("13.2.3", 10), ("12.4.1", 5))
+VERSIONS = (("2.1.134", 70), ("2.1.132", 20), ("2.1.111", 5), ("2.0.1", 5))
+DISPLAYS = (("promotion", 30), ("query", 60), ("recommend", 10))
+SEARCH_WORDS = ("图书", "小米", "iphone11", "电视", "口红", "ps5", "苹果手机", "小米盒子")
+# Order states.
 UNPAID, PAID, CANCELLED, FINISHED, REFUNDING, REFUNDED = "1001", "1002", "1003", "1004", "1005", "1006"
 
 
@@ -28,7 +38,7 @@ def uniform(seed: int, *keys) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / float(1 << 40)
 
 
-def weighted_choice(options: list[tuple], u: Column) -> Column:
+def weighted_choice(options: tuple[tuple, ...], u: Column) -> Column:
     """The option whose share of the weights holds u."""
     total, upto, picked = sum(w for _, w in options), 0, None
     for value, weight in options:
@@ -58,18 +68,20 @@ def log_events(spark: SparkSession, sessions: int, start_ms: int, seed: int = 1,
     """Session logs: one start event, then the pages of a weighted path. All rows of a session share its time."""
     s = spark.range(sessions).withColumnRenamed("id", "session")
     u = lambda k, *more: uniform(seed * 1000 + k, "session", *more)
+    model = weighted_choice(MODELS, u(11))
+    apple = brand(model) == "iPhone"
     common = F.struct(
         F.concat(F.lit("mid_"), F.floor(u(1) * devices) + 1).alias("mid"),
         (F.floor(u(2) * users) + 1).cast("string").alias("uid"),
-        pick(VERSIONS, u(3)).alias("vc"),
-        pick(CHANNELS, u(4)).alias("ch"),
-        F.lit("Android 11.0").alias("os"),
-        pick(AREAS, u(5)).alias("ar"),
-        F.lit("Brand Model").alias("md"),
-        F.lit("Brand").alias("ba"),
+        F.concat(F.lit("v"), weighted_choice(VERSIONS, u(3))).alias("vc"),
+        F.when(apple, "Appstore").otherwise(weighted_choice(CHANNELS, u(4))).alias("ch"),
+        F.when(apple, F.concat(F.lit("iOS "), weighted_choice(APPLE_SYSTEMS, u(12)))).otherwise(F.concat(F.lit("Android "), weighted_choice(SYSTEMS, u(12)))).alias("os"),
+        weighted_choice(AREAS, u(5)).alias("ar"),
+        model.alias("md"),
+        brand(model).alias("ba"),
         F.when(u(6) < 0.5, "1").otherwise("0").alias("is_new"),
     )
-    base = s.select("session", (F.lit(start_ms) + F.col("session") * 100).alias("ts"), common.alias("common"), weighted_choice(list(PATHS), u(7)).alias("path"))
+    base = s.select("session", (F.lit(start_ms) + F.col("session") * 100).alias("ts"), common.alias("common"), weighted_choice(PATHS, u(7)).alias("path"))
     starts = base.select("session", F.lit(-1).alias("step"), "ts", "common", F.struct(pick(("icon", "notice", "install"), u(8)).alias("entry"), (F.floor(u(9) * 20) + 1).alias("open_ad_id"), F.floor(u(10) * 20000).cast("int").alias("loading_time")).alias("start"))
     pages = base.select("session", "ts", "common", "path", F.posexplode("path").alias("step", "page_id"))
     v = lambda k, *more: uniform(seed * 1000 + k, "session", "step", *more)
@@ -78,7 +90,7 @@ def log_events(spark: SparkSession, sessions: int, start_ms: int, seed: int = 1,
         F.sequence(F.lit(1), (F.floor(v(21) * 6) + 4).cast("int")),
         lambda i: F.struct(
             F.when(v(22, i) < 0.3, "activity_id").otherwise("sku_id").alias("item_type"), sku(v(23, i)).alias("item"),
-            F.when(v(24, i) < 0.6, "query").when(v(24, i) < 0.9, "promotion").otherwise("recommend").alias("display_type"), i.alias("order"), (F.floor(v(25, i) * 5) + 1).cast("int").alias("pos_id"),
+            weighted_choice(DISPLAYS, v(24, i)).alias("display_type"), i.alias("order"), (F.floor(v(25, i) * 5) + 1).cast("int").alias("pos_id"),
         ),
     )
     acts = F.filter(
@@ -93,8 +105,8 @@ def log_events(spark: SparkSession, sessions: int, start_ms: int, seed: int = 1,
         "common",
         F.struct(
             F.when(F.col("step") > 0, F.expr("path[step - 1]")).alias("last_page_id"), "page_id",
-            F.when(F.col("page_id").isin("good_detail", "good_spec", "comments"), "sku_id").when(F.col("page_id") == "good_list", "keyword").alias("item_type"),
-            F.when(F.col("page_id").isin("good_detail", "good_spec", "comments"), sku(v(29))).when(F.col("page_id") == "good_list", pick(("phone", "tv", "lipstick"), v(30))).alias("item"),
+            F.when(F.col("page_id").isin("good_detail", "good_spec", "comment"), "sku_id").when(F.col("page_id") == "good_list", "keyword").alias("item_type"),
+            F.when(F.col("page_id").isin("good_detail", "good_spec", "comment"), sku(v(29))).when(F.col("page_id") == "good_list", pick(SEARCH_WORDS, v(30))).alias("item"),
             duration.alias("during_time"),
         ).alias("page"),
         F.when(F.col("page_id").isin("home", "good_list", "good_detail"), shown).alias("displays"),
@@ -117,7 +129,7 @@ def business(spark: SparkSession, users: int, start: str, seed: int = 1, skus: i
     paid = orders.filter(u(7, "id") < 0.7)
     payments = paid.select(F.col("id").alias("order_id"), "user_id", (F.col("create_time") + F.expr("INTERVAL 20 SECONDS")).alias("callback_time"), F.when(u(8, "id") < 0.6, "1101").otherwise("1102").alias("payment_type"))
     refunds = paid.filter(u(9, "id") < 0.3).select(F.col("id").alias("order_id"), "user_id")
-    comments = paid.select(F.col("id").alias("order_id"), "user_id", weighted_choice([("1201", 6), ("1202", 2), ("1203", 1), ("1204", 1)], u(10, "id")).alias("appraise"))
+    comments = paid.select(F.col("id").alias("order_id"), "user_id", weighted_choice((("1201", 6), ("1202", 2), ("1203", 1), ("1204", 1)), u(10, "id")).alias("appraise"))
     state = F.array(F.lit(UNPAID), F.when(u(7, "id") < 0.7, PAID), F.when(u(7, "id") >= 0.7, None).when(u(9, "id") < 0.3, REFUNDING).when(u(9, "id") >= 0.3, FINISHED))
     log = orders.select(F.col("id").alias("order_id"), F.posexplode(F.filter(state, lambda x: x.isNotNull())).alias("step", "order_status"))
     return {"user_info": people, "favor_info": favours, "cart_info": carts, "order_info": orders, "order_detail": details, "payment_info": payments, "order_refund_info": refunds, "comment_info": comments, "order_status_log": log}
