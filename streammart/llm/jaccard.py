@@ -375,13 +375,17 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         roots = components(links)
     rows = found.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("name"))
-    return rows.join(names, "root", "left").select(
+    named = rows.join(names, "root", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         "node",
         "root",
         F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+    result = staged(named, "joined")  # some tens of bytes a document; the sets go
+    for old in (found, held):
+        drop_staged(old)
+    return result
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streammart.llm.common import table
-from streammart.llm.tokens import lean, sliced
+from streammart.llm.tokens import lean, release, sliced
 
 NAME = "op2_language_centroids"
 SQL = None
@@ -55,19 +55,22 @@ def counts(text: bytes) -> np.ndarray:
 
 
 def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = found * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    """Weighs and normalises counts in place: the sample's matrix exists once."""
+    found *= idf
+    found /= np.maximum(np.sqrt(np.einsum("ij,ij->i", found, found))[:, None], 1e-9)
+    return found
 
 
 def clustered(v: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means; starts from rows far from one another."""
+    """Spherical k-means; starts from rows far from one another. Rows are never copied."""
     centers = [v.mean(axis=0)]
     for _ in range(k):
         centers.append(v[np.argmin(np.max(v @ np.array(centers).T, axis=1))])
     c = np.array(centers[1:])
     for _ in range(ROUNDS):
         own = np.argmax(v @ c.T, axis=1)
-        c = np.array([v[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
+        sums = (own == np.arange(len(c))[:, None]).astype(np.float32) @ v
+        c = np.where(np.bincount(own, minlength=len(c))[:, None] > 0, sums, c)
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
     return c
 
@@ -83,24 +86,31 @@ def leeway(n_bytes: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str, str]]) -> dict:
     """Model from (text, lang) rows: langs, centroids (language of each), idf, and the least cosines."""
-    rows = [(t, lang) for t, lang in rows if t and has_letter(t) and lang is not None]
+    rows = sorted((r for r in rows if r[0] and r[1] is not None and has_letter(r[0])), key=lambda r: (r[1], r[0]))
     if not rows:
         return {"langs": []}
-    found = np.array([counts(t.encode()) for t, _ in rows])
-    idf = (np.log((1 + len(rows)) / (1 + (found > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    v = vectors(found, idf)
+    v = np.empty((len(rows), DIMENSIONS), np.float32)
+    for j, (t, _) in enumerate(rows):
+        v[j] = counts(t.encode())
+    idf = (np.log((1 + len(rows)) / (1 + np.count_nonzero(v, axis=0))) + 0.1).astype(np.float32)
+    vectors(v, idf)
     langs = sorted({lang for _, lang in rows})
-    of = np.array([langs.index(lang) for _, lang in rows])
-    centers, owner = [], []
-    for i in range(len(langs)):
-        c = clustered(v[of == i], min(CENTROIDS, int((of == i).sum())))
+    size = np.array([len(t.encode()) for t, _ in rows], float)
+    ends = np.searchsorted([lang for _, lang in rows], langs, "right").tolist()
+    centers, owner, least = [], [], []
+    for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):  # one language's rows: a view
+        c = clustered(v[a:b], min(CENTROIDS, b - a))
         centers.append(c)
         owner += [i] * len(c)
-    centers, owner = np.concatenate(centers).astype(np.float32), np.array(owner)
-    size = np.array([len(t.encode()) for t, _ in rows], float)
-    own = np.array([(v[j] @ centers[owner == of[j]].T).max() for j in range(len(rows))]) + leeway(size)
-    least = np.array([np.quantile(own[of == i], REJECT_QUANTILE) - MARGIN for i in range(len(langs))])
-    return {"langs": langs, "centers": centers, "owner": owner, "idf": idf, "least": least}
+        near = (v[a:b] @ c.T).max(axis=1) + leeway(size[a:b])
+        least.append(np.quantile(near, REJECT_QUANTILE) - MARGIN)
+    return {
+        "langs": langs,
+        "centers": np.concatenate(centers).astype(np.float32),
+        "owner": np.array(owner),
+        "idf": idf,
+        "least": np.array(least),
+    }
 
 
 def predicted(model: dict, texts: list[str]) -> list[tuple[str, float, bool]]:
@@ -139,7 +149,9 @@ def trained(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     each = max(1, rows // len(sizes))
     part = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))])
     chosen = usable.filter(draw < part[F.col("lang")] * float(2**32)).select("text", "lang")
-    return fit([(r["text"], r["lang"]) for r in chosen.limit(2 * rows).collect()])
+    model = fit([(r["text"], r["lang"]) for r in chosen.limit(2 * rows).toLocalIterator()])
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

@@ -27,6 +27,16 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(at, rows)
 
 
+def release() -> None:
+    """Hands freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def lean(run: Callable) -> Callable:
     """``run`` for mapInArrow; when its task ends, what it held goes back to the system.
 
@@ -35,11 +45,6 @@ def lean(run: Callable) -> Callable:
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: nothing to trim
-            pass
+        release()
 
     return wrapped
