@@ -92,11 +92,28 @@ def comment_rows(comments: DataFrame) -> DataFrame:
 def product_stats(rows: DataFrame, size: str) -> DataFrame:
     """Sums and numbers of distinct orders per product and window (distinct even for single rows).
 
-    A stream can't count distinct values, so there the sets are collected and measured.
+    A batch sums per distinct order first, so no row is multiplied for the three distinct counts; a
+    stream has one aggregation only, where the sets are collected and measured.
     """
-    distinct = (lambda c: F.size(F.collect_set(c)).cast("long")) if rows.isStreaming else F.count_distinct
-    sums = [F.sum(m).alias(m) for m in [*PRODUCT_COUNTS, *PRODUCT_AMOUNTS]]
-    return _windowed(rows, size, ["sku_id"], [*sums, *(distinct(c).alias(m) for m, c in PRODUCT_SETS.items())])
+    if rows.isStreaming:
+        sums = [F.sum(m).alias(m) for m in [*PRODUCT_COUNTS, *PRODUCT_AMOUNTS]]
+        sets = [F.size(F.collect_set(c)).cast("long").alias(m) for m, c in PRODUCT_SETS.items()]
+        return _windowed(rows, size, ["sku_id"], [*sums, *sets])
+    ids = F.array(*(F.struct(F.lit(m).alias("set"), F.col(c).alias("id")) for m, c in PRODUCT_SETS.items()))
+    metrics = [*PRODUCT_COUNTS, *PRODUCT_AMOUNTS]
+    placed = rows.select("ts", "sku_id", *metrics, F.posexplode_outer(F.filter(ids, lambda x: x["id"].isNotNull())).alias("_n", "_order"))
+    # A row with several orders stands once for each; its metrics count with the first.
+    counted = [F.when(F.coalesce("_n", F.lit(0)) == 0, F.col(m)).alias(m) for m in metrics]
+    w = F.window("ts", size).alias("w")
+    per_order = placed.select("ts", "sku_id", "_order", *counted).groupBy(w, "sku_id", "_order").agg(*(F.sum(m).alias(m) for m in metrics))
+    totals = [F.sum(m).alias(m) for m in PRODUCT_COUNTS] + [F.sum(m).cast("decimal(26,2)").alias(m) for m in PRODUCT_AMOUNTS]
+    distinct = [F.count_if(F.col("_order.set") == m).alias(m) for m in PRODUCT_SETS]
+    return (
+        per_order.groupBy("w", "sku_id")
+        .agg(*totals, *distinct)
+        .select(second_text("w.start").alias("stt"), second_text("w.end").alias("edt"), "*")
+        .drop("w")
+    )
 
 
 def province_stats(orders: DataFrame, size: str) -> DataFrame:

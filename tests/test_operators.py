@@ -136,6 +136,14 @@ def test_single_row_windows_count_orders(spark):
     assert (out["order_ct"], out["order_sku_num"], out["stt"], out["edt"]) == (1, 2, "2024-01-01 00:00:00", "2024-01-01 00:00:10")
 
 
+def test_distinct_orders_per_set(spark):
+    data = [(1, 7, 1, None), (1, 7, 1, 1), (1, 8, 2, 1), (1, 8, None, None), (2, 5, None, 3)]
+    t = spark.createDataFrame([(at("2024-01-01"), *x) for x in data], "ts timestamp, sku_id int, amount int, a long, b long")
+    rows_ = stats.product_rows(t, F.col("sku_id"), order_amount=F.col("amount"), order_id=F.col("a"), paid_order_id=F.col("b"))
+    out = stats.product_stats(rows_, "1 day").select("sku_id", F.col("order_amount").cast("int"), "order_ct", "paid_order_ct", "refund_order_ct")
+    assert rows(out, "sku_id") == [(1, 30, 2, 1, 0), (2, 5, 0, 1, 0)]
+
+
 def test_tokens(spark):
     t = spark.createDataFrame([("Red-Phone 5G",), ("今天天气",), (None,)], "t string")
     assert [r[0] for r in t.select(tokenize.words(F.col("t"))).collect()] == [["red", "phone", "5g"], ["今天", "天天", "天气"], None]
