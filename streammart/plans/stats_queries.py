@@ -256,18 +256,88 @@ def _(e):
 # Replies of the dashboard, as JSON
 
 
-def _reply(name, build):
-    register(name, None)(build)
-
-
-_reply("reply_gmv", lambda e: serving.scalar_json(serving.gmv(sales(e)), "order_amount"))
-_reply("reply_trademark", lambda e: serving.series_json(serving.top_groups(sales(e), "tm_id", 20), "tm_id"))
-_reply("reply_category", lambda e: serving.pairs_json(serving.top_groups(sales(e), "category3_id", 20), "category3_id", "order_amount"))
-_reply("reply_spu", lambda e: serving.table_json(serving.top_groups(sales(e), "spu_id", 20, F.count_distinct("order_id").alias("order_ct")), "spu_id"))
-_reply("reply_province", lambda e: serving.map_json(serving.by_province(province_rows(e).withColumnRenamed("amount", "order_amount"))))
-_reply("reply_visitor", lambda e: serving.visitor_json(serving.visitor_pivot(visitor_rows(e))))
-_reply("reply_hour", lambda e: serving.hours_json(serving.every_hour(_hourly(e))))
-_reply("reply_keyword", lambda e: serving.pairs_json(keywords.weighted(stats.keyword_stats(keywords.tokenized(keywords.searched(searches(e))), "1 day"), 20), "keyword", "ct"))
+def _list(fields: str, order: str) -> str:
+    return f"'[' || string_agg({fields}, ',' ORDER BY {order}) || ']'"
+
+
+def _json(data: str, source: str) -> str:
+    return f"SELECT '{{\"status\":0,\"data\":' || {data} || '}}' AS json FROM {source}"
+
+
+def _named(key: str, *more: str) -> str:
+    """SQL text of one object: name, then further numbers."""
+    fields = "".join(f" || ',\"{n}\":' || {c}" for n, c in (m.split("=") for m in more))
+    return f"'{{\"name\":\"' || {key} || '\"'{fields} || '}}'"
+
+
+def _best(key: str) -> str:
+    grouped = f"SELECT {key} AS k, sum(order_amount) AS v, count(DISTINCT order_id) AS c FROM ({_SALES}) GROUP BY {key} HAVING sum(order_amount) > 0"
+    return f"(SELECT * FROM ({grouped}) ORDER BY v DESC, k LIMIT 20)"
+
+
+@register("reply_gmv", _json("sum(order_amount)", f"({_SALES})"))
+def _(e):
+    return serving.scalar_json(serving.gmv(sales(e)), "order_amount")
+
+
+_NAMES = _list("'\"' || k || '\"'", "v DESC, k")
+
+
+@register("reply_trademark", _json(f"'{{\"categories\":' || {_NAMES} || ',\"series\":[{{\"name\":\"tm_id\",\"data\":' || {_list('v', 'v DESC, k')} || '}}]}}'", _best("tm_id")))
+def _(e):
+    return serving.series_json(serving.top_groups(sales(e), "tm_id", 20), "tm_id")
+
+
+@register("reply_category", _json(_list(_named("k", "value=v"), "v DESC, k"), _best("category3_id")))
+def _(e):
+    return serving.pairs_json(serving.top_groups(sales(e), "category3_id", 20), "category3_id", "order_amount")
+
+
+_COLUMNS = '[{"name":"name","id":"name"},{"name":"amount","id":"amount"},{"name":"orders","id":"ct"}]'
+
+
+@register("reply_spu", _json(f"'{{\"columns\":{_COLUMNS},\"rows\":' || {_list(_named('k', 'amount=v', 'ct=c'), 'v DESC, CAST(k AS VARCHAR)')} || '}}'", _best("spu_id")))
+def _(e):
+    return serving.table_json(serving.top_groups(sales(e), "spu_id", 20, F.count_distinct("order_id").alias("order_ct")), "spu_id")
+
+
+@register("reply_province", _json(f"'{{\"mapData\":' || {_list(_named('province_name', 'value=v'), 'province_name')} || '}}'", f"(SELECT province_name, sum(amount) AS v FROM ({_PO}) GROUP BY province_name)"))
+def _(e):
+    return serving.map_json(serving.by_province(province_rows(e).withColumnRenamed("amount", "order_amount")))
+
+
+@register(
+    "reply_visitor",
+    _json(
+        "'{\"columns\":[{\"name\":\"measure\",\"id\":\"measure\"},{\"name\":\"new_visitors\",\"id\":\"new_visitors\"},{\"name\":\"old_visitors\",\"id\":\"old_visitors\"}],\"rows\":' || "
+        + _list("'{\"measure\":\"' || measure || '\",\"new_visitors\":' || a || ',\"old_visitors\":' || b || '}'", "measure")
+        + " || '}'",
+        f"""(SELECT measure, coalesce(max(value) FILTER (WHERE is_new = '1'), 0) AS a, coalesce(max(value) FILTER (WHERE is_new = '0'), 0) AS b FROM (
+      SELECT is_new, unnest(['uv', 'pv', 'bounce', 'dwell', 'pages']) AS measure, unnest([uv_ct::DOUBLE, pv_ct::DOUBLE, uj_rate, dur_per_sv, pv_per_sv]) AS value FROM (
+        SELECT *, {_RATES} FROM (SELECT is_new, {_SUM_V} FROM ({_UNITED}) GROUP BY is_new))) GROUP BY measure)""",
+    ),
+)
+def _(e):
+    return serving.visitor_json(serving.visitor_pivot(visitor_rows(e)))
+
+
+_EACH_HOUR = f"(SELECT lpad(CAST(r.hr AS VARCHAR), 2, '0') AS hr, coalesce(uv_ct, 0) AS uv, coalesce(pv_ct, 0) AS pv, coalesce(new_uv, 0) AS nu FROM (SELECT unnest(range(24)) AS hr) r LEFT JOIN ({_HOUR}) h ON r.hr = h.hr)"
+_LABELS = _list("'\"' || hr || '\"'", "hr")
+_SERIES = " || ',' || ".join(f"'{{\"name\":\"{n}\",\"data\":' || {_list(c, 'hr')} || '}}'" for n, c in (("uv", "uv"), ("pv", "pv"), ("new", "nu")))
+
+
+@register("reply_hour", _json(f"'{{\"categories\":' || {_LABELS} || ',\"series\":[' || {_SERIES} || ']}}'", _EACH_HOUR))
+def _(e):
+    return serving.hours_json(serving.every_hour(_hourly(e)))
+
+
+_COUNTED = f"(SELECT keyword AS k, 10 * count(*) AS v FROM ({_WORDS}) GROUP BY keyword ORDER BY count(*) DESC, keyword LIMIT 20)"
+
+
+@register("reply_keyword", _json(_list(_named("k", "value=v"), "v DESC, k"), _COUNTED))
+def _(e):
+    counted = stats.keyword_stats(keywords.tokenized(keywords.searched(searches(e))), "1 day")
+    return serving.pairs_json(keywords.weighted(counted, 20), "keyword", "ct")
 
 
 # Grouping sets and merge engines
