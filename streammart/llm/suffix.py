@@ -13,8 +13,9 @@ document with a smaller doc_id. Repetition is paid for once: a phrase that thous
 is sorted once.
 
 Scale: a first pass over the texts sends only (trigger, document) pairs, 6 to 8 bytes each, to find
-triggers of two documents or more; their fixed-size bitmap (``BITS`` bits) is broadcast, and a second
-pass parses only phrases under them. A full bitmap costs traffic, never results. Texts aren't shuffled.
+triggers of two documents or more; their bitmap, of a size between fixed bounds (``BITS``), is broadcast,
+and a second pass parses only phrases under them. A full bitmap costs traffic, never results. Texts
+aren't shuffled.
 
 Defined results: null text is empty; texts shorter than LENGTH keep everything; a null doc_id takes no
 part and loses nothing; rows with equal doc_id don't deduplicate one another, nor a row itself; an
@@ -38,7 +39,9 @@ from streammart.llm.tokens import lean
 
 NAME = "op6_prefix_free_dedup"
 LENGTH, GRAM = 50, 16
-SLICE, FLUSH, BITS = 1 << 19, 1 << 19, 26
+SLICE, FLUSH = 1 << 19, 1 << 19
+#: Least and greatest size of the broadcast bitmap: 2^22 bits are 0.5 MB, 2^30 bits 128 MB.
+BITS = (22, 30)
 #: Interval tables up to this size are broadcast to the last pass; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -151,8 +154,14 @@ def _by_bucket(batches):
         yield bucket, rows
 
 
-def repeated_triggers(docs: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of the triggers that two documents or more hold, by their leading BITS bits."""
+def bitmap_bits(docs: DataFrame) -> int:
+    """Leading bits of a trigger that address the bitmap: several for each trigger, by the planner's size."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(BITS[1], max(BITS[0], (size // 2).bit_length()))
+
+
+def repeated_triggers(docs: DataFrame, bits: int, total: int) -> np.ndarray:
+    """Bitmap of the triggers that two documents or more hold, by their ``total`` leading bits."""
 
     def send(batches):
         held, rows = [], 0
@@ -197,7 +206,7 @@ def repeated_triggers(docs: DataFrame, bits: int) -> np.ndarray:
             low, doc = low[order], doc[order]
             cuts = _cuts(low)[:-1]
             many = np.minimum.reduceat(doc, cuts) < np.maximum.reduceat(doc, cuts)
-            places = np.unique(low[cuts][many] >> np.uint32(32 - (BITS - bits)))
+            places = np.unique(low[cuts][many] >> np.uint32(32 - (total - bits)))
             if len(places):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([places.astype(np.uint32).tobytes()], pa.binary())], ["bucket", "places"])
 
@@ -207,17 +216,17 @@ def repeated_triggers(docs: DataFrame, bits: int) -> np.ndarray:
     def folded(batches):  # as bits, so that what reaches the driver is bounded by the bitmap
         for batch in batches:
             for b, places in zip(batch.column("bucket").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                held = np.zeros(1 << (BITS - bits), bool)
+                held = np.zeros(1 << (total - bits), bool)
                 held[np.frombuffer(places, np.uint32)] = True
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())], ["bucket", "bits"])
 
-    out = np.zeros((1 << bits, (1 << (BITS - bits)) // 8), np.uint8)
+    out = np.zeros((1 << bits, (1 << (total - bits)) // 8), np.uint8)
     for b, raw in rows.mapInArrow(lean(folded), "bucket long, bits binary").toLocalIterator():
         out[b] = np.frombuffer(raw, np.uint8)
     return out.ravel()
 
 
-def phrases(docs: DataFrame, bitmap, bits: int) -> DataFrame:
+def phrases(docs: DataFrame, bitmap, bits: int, total: int) -> DataFrame:
     """Dictionary and parse of the phrases under repeated triggers, by trigger bucket.
 
     Negative buckets carry copies found within a task: whole texts to be removed.
@@ -260,7 +269,7 @@ def phrases(docs: DataFrame, bitmap, bits: int) -> DataFrame:
                     ["bucket", "trigger", "phrase", "id", "hash", "start", "count", "content"],
                 )
             buffer, offsets, doc, at, end, trigger = parse(texts)
-            place = (trigger >> np.uint64(64 - BITS)).astype(np.int64)
+            place = (trigger >> np.uint64(64 - total)).astype(np.int64)
             ok = np.flatnonzero((bitmap.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
             if not len(ok):
                 continue
@@ -403,9 +412,9 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, hash (of the text), spans: documents with something to remove."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(16, max(8, (4 * partitions - 1).bit_length()))
-    bitmap = spark.sparkContext.broadcast(repeated_triggers(docs, bits))
-    return staged(removals(phrases(docs, bitmap, bits), 4 * partitions), "spans")
+    bits, total = min(16, max(8, (8 * partitions - 1).bit_length())), bitmap_bits(docs.select("doc_id", "text"))
+    bitmap = spark.sparkContext.broadcast(repeated_triggers(docs, bits, total))
+    return staged(removals(phrases(docs, bitmap, bits, total), 4 * partitions), "spans")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
