@@ -110,3 +110,20 @@ def test_day_partitions(spark, tmp_path):
     assert [(r["v"], r["dt"]) for r in one.collect()] == [(2, 20240102)] and "internal" not in one.columns
     assert "PartitionFilters: [isnotnull(dt" in one._jdf.queryExecution().toString()
     assert readers.lookup(spark, one, v=2)["stt"] == "2024-01-02 00:00:00"
+
+
+def test_keyword_and_product_statistics(spark, tmp_path):
+    data = [("good_list", "Red Phone", 10), ("good_list", "red tv", 12), ("home", "red", 13), ("good_list", None, 14), ("good_list", "tv", 25)]
+    rows = spark.createDataFrame([({"page_id": p, "item": i}, seconds(s)) for p, i, s in data], "page map<string,string>, ts timestamp")
+    end = spark.createDataFrame([({"page_id": "good_list", "item": "zzz"}, seconds(900))], rows.schema)
+    source = stream(spark, tmp_path / "k", rows, end).withWatermark("ts", "3 seconds")
+    got = collected(jobs.keyword_stats(source), tmp_path, "words").select("stt", "keyword", "ct").collect()
+    assert sorted(map(tuple, got)) == [("1970-01-01 00:00:10", "phone", 1), ("1970-01-01 00:00:10", "red", 2), ("1970-01-01 00:00:10", "tv", 1), ("1970-01-01 00:00:20", "tv", 1)]
+
+    orders = spark.createDataFrame([(seconds(s), 1, 10, 2, o) for s, o in ((10, 5), (11, 5), (12, 6), (25, 7))], "ts timestamp, sku_id int, amount int, sku_num int, order_id long")
+    late = spark.createDataFrame([(seconds(900), 9, 0, 0, 9)], orders.schema)
+    source = stream(spark, tmp_path / "o", orders, late).withWatermark("ts", "3 seconds")
+    out = collected(stats.product_stats(stats.order_rows(source), "10 seconds"), tmp_path, "products")
+    want = stats.product_stats(stats.order_rows(orders), "10 seconds")
+    columns = ["stt", "sku_id", "order_ct", "order_sku_num", "paid_order_ct"]
+    assert sorted(map(tuple, out.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
