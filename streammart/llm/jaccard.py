@@ -279,14 +279,16 @@ def paired(rows: DataFrame, low: int, high: int, percent: int) -> DataFrame:
             size = np.diff(np.append(cuts, len(n)))
             at = np.arange(len(n))
             start = np.repeat(cuts, size)
+            later = np.repeat(np.arange(len(cuts), 0, -1), size) << 32  # buckets apart in one running maximum
+            most = np.maximum.accumulate((n + later)[::-1])[::-1] - later  # the largest set from each row on
             for r in range(low, min(high, int(size.max()) - 1)):
                 at, start = at[start + r < at], start[start + r < at]
                 hub = start + r
-                # Positions only rise: a hub that leaves no room for an equal position has no partner left.
-                open_ = 2 * pos[hub] <= n[hub] + n[at] - 2 * least_overlap(n[hub], n[at], percent)
-                busy = np.zeros(len(n), bool)
-                busy[start[open_]] = True
-                at, start = at[busy[start]], start[busy[start]]
+                # Positions only rise: a row that is too far from this hub for the largest partner left to it
+                # has none among the later rows either. Other rows stay, whatever this hub's own size allows.
+                partner = np.minimum(most[hub], 100 * n[at] // percent)
+                near = pos[hub] + pos[at] <= (100 - percent) * (n[at] + partner) // (100 + percent)
+                at, start = at[near], start[near]
                 if not len(at):
                     break
                 hub = start + r

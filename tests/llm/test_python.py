@@ -85,6 +85,22 @@ def test_jaccard_large_group_and_frequent_tokens(spark):
     assert sorted(map(tuple, got), key=repr) == linked_by_hand(rows)
 
 
+def test_a_small_hub_closes_no_bucket(spark):
+    """The first row's size leaves it no partner; the rows after it have one."""
+    rows = [(8, 30, -7, 2, 3), (8, 31, 1, 2, 3), (8, 31, 2, 2, 3), (9, 30, 3, 3, 3), (9, 33, 4, 3, 3), (9, 300, 5, 9, 3), (9, 300, 6, 9, 3)]
+    made = spark.createDataFrame(rows, "token long, n int, node long, pos int, size long").withColumn("root", F.col("node"))
+
+    def room(a, b):
+        x, y = made_by[a], made_by[b]
+        slack = x[0] + y[0] - 2 * jaccard.least_overlap(x[0], y[0], 85)
+        return x[1] + y[1] <= slack and 100 * min(x[0], y[0]) >= 85 * max(x[0], y[0])
+
+    made_by = {r[2]: (r[1], r[3]) for r in rows}
+    got = {tuple(r) for r in jaccard.paired(made, 0, 1 << 40, 85).collect()}
+    assert got == {(1, 2), (5, 6)}
+    assert got == {(a, b) for a in made_by for b in made_by if a < b and (a < 3) == (b < 3) and room(a, b)}
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard.joined(docs(spark, [])).count() == 0
 
