@@ -1,8 +1,9 @@
 """Personal data: base patterns and bootstrapped contextual extraction, in DataFrame functions only.
 
-The base kinds (e-mail, IPv4 address, payment card, phone) give the seed entities. Every token that
-holds a digit and looks like an identifier is a candidate instance; a lexical pattern is the word to
-its left with the token's shape (letter runs ``a``, digit runs ``9``). Pattern and instance form a
+The base kinds (e-mail, IPv4 address, payment card, phone) give the seed entities; each is an instance,
+white space included. So is every token that holds a digit and looks like an identifier; a lexical
+pattern is the word to its left, with or without digits, with the instance's shape (letter runs ``a``,
+digit runs ``9``). Pattern and instance form a
 graph, scored in rounds: a pattern's confidence is the share of its distinct instances that are
 trusted; an instance is trusted if it is a seed or some accepted pattern holds it. Patterns need
 ``MIN_SEEDS`` distinct trusted instances and a confidence of ``MIN_CONFIDENCE``. What accepted
@@ -31,7 +32,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:[.]|$)){4}$"
 # Candidate instances: tokens of 7 to 64 characters with 4 digits or more.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-LAST_WORD = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$"
+LAST_WORD = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]*$"
 
 
 def digits(c: Column) -> Column:
@@ -58,11 +59,11 @@ def is_card(m: Column) -> Column:
 def base_spans(text: Column) -> Column:
     numeric = text.rlike("[0-9]")
     return F.concat(
-        S.found(text, "email", 0, EMAIL, F.contains(text, F.lit("@")), lambda m: F.length(m) > 0),
-        S.found(text, "ip", 1, IP, numeric & text.rlike(r"[0-9]\.[0-9]"), lambda m: m.rlike(IP_PARTS)),
-        S.found(text, "card", 2, CARD, numeric, is_card),
+        S.found(text, "email", 0, EMAIL, F.contains(text, F.lit("@")), lambda m: F.length(m) > 0, CONTEXT),
+        S.found(text, "ip", 1, IP, numeric & text.rlike(r"[0-9]\.[0-9]"), lambda m: m.rlike(IP_PARTS), CONTEXT),
+        S.found(text, "card", 2, CARD, numeric, is_card, CONTEXT),
         S.found(
-            text, "phone", 3, PHONE, F.contains(text, F.lit("+")), lambda m: F.length(digits(m)).between(10, 15)
+            text, "phone", 3, PHONE, F.contains(text, F.lit("+")), lambda m: F.length(digits(m)).between(10, 15), CONTEXT
         ),
     )
 
@@ -91,8 +92,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def graph(scanned: DataFrame) -> DataFrame:
-    """rid, start, end, seed, pattern parts and instance of every candidate that has a left word."""
-    one = scanned.select("rid", "base", F.explode("candidates").alias("c"))
+    """rid, start, end, seed, pattern parts and instance of every base span and candidate with a left word."""
+    one = scanned.select("rid", "base", F.explode(F.concat("base", "candidates")).alias("c"))
     shape = F.regexp_replace(F.regexp_replace("c.match", r"\p{L}+", "a"), "[0-9]+", "9")
     return one.select(
         "rid",

@@ -16,16 +16,21 @@ NONE = f"cast(array() as array<{SPAN}>)"
 def found(text: Column, kind: str, rank: int, pattern: str, maybe: Column, keep, context: int = 0) -> Column:
     """Spans of ``pattern`` (no capture groups) in ``text`` whose matched string passes ``keep``.
 
-    Each keeps up to ``context`` characters of what stands between it and the match before.
+    Each keeps up to ``context`` characters of the text before it.
     ``maybe`` is a cheap necessary condition: the pattern runs on no text that fails it.
     """
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def before(acc, *more):
+        return F.right(F.concat(acc["tail"], *more), F.lit(context)) if context else F.lit("")
+
     walked = F.aggregate(
         F.arrays_zip(pieces.alias("gap"), matches.alias("match")),
-        F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out")),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr(NONE).alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
+            before(acc, x["gap"], F.coalesce(x["match"], F.lit(""))).alias("tail"),
             F.when(
                 x["match"].isNotNull() & keep(F.coalesce(x["match"], F.lit(""))),
                 F.concat(
@@ -37,7 +42,7 @@ def found(text: Column, kind: str, rank: int, pattern: str, maybe: Column, keep,
                             F.lit(rank).alias("rank"),
                             F.lit(kind).alias("kind"),
                             x["match"].alias("match"),
-                            (F.right(x["gap"], F.lit(context)) if context else F.lit("")).alias("left"),
+                            before(acc, x["gap"]).alias("left"),
                         )
                     ),
                 ),

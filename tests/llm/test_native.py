@@ -136,6 +136,19 @@ def test_patterns_find_unseen_identifiers(spark):
     assert [s["match"] for s in got[300]] == ["+1-20-55-1000"]
 
 
+def test_every_seed_kind_teaches_patterns(spark):
+    """E-mails of few digits and phones in several tokens are instances, with digits in the left word or not."""
+    mails = [(i, f"write bob{i}@x.org now") for i in range(40)]
+    phones = [(100 + i, f"ring +1 (202) 555-{1000 + i} now") for i in range(40)]
+    unseen = [(500, "write bob1234@exämple.org now"), (501, "ring (202) 555-9876 now")]
+    df = docs(spark, *mails, *phones, *unseen)
+    got = {r["doc_id"]: [s["match"] for s in r["more"]] for r in pii.extract(df).collect()}
+    assert got[500] == ["bob1234@exämple.org"] and got[501] == ["555-9876"]
+    assert not any(got[i] for i, _ in mails + phones)
+    edges = {(r["left_word"], r["shape"]) for r in pii.graph(pii.scan(df)).collect() if r["seed"]}
+    assert {("write", "a9@a.a"), ("ring", "+9 (9) 9-9")} <= edges
+
+
 # Mixing
 
 
