@@ -2,8 +2,8 @@
 
 A document that passes the base rules is compressed as a whole and in fixed chunks. Its ratio (bytes
 in, over bytes out) must lie within the band of its length class: above it the text is repetitive,
-below it incompressible. The whole text catches copies far apart; chunks catch a bad part within a
-long text: more than ``MAX_BAD_CHUNKS`` of them outside the chunk band reject it.
+below it incompressible. The whole text catches copies far apart; chunks, the short last one too, catch
+a bad part of a text: more than ``MAX_BAD_CHUNKS`` of them outside the band of their length reject it.
 
 Defined results: null text has no words and fails the base rules; repeated rows and equal or null
 doc_ids are rows of their own; an empty table gives no rows; other columns are ignored; whole texts
@@ -29,7 +29,9 @@ LEVEL, CHUNK_BYTES, MAX_BAD_CHUNKS = 3, 4096, 0.25
 #: Up to so many bytes: least and greatest whole-text ratio. Longer texts of one language compress
 #: better, since more of their words have come before; a header's cost weighs on short ones.
 BANDS = ((256, 0.95, 3.0), (1024, 1.15, 4.5), (4096, 1.3, 6.0), (16384, 1.4, 8.0), (float("inf"), 1.4, 10.0))
-CHUNK_BAND = (1.25, 8.0)
+#: The same for chunks. The least ratio lies above what base64 of that many bytes reaches; up to 128
+#: bytes a header's cost hides the difference.
+CHUNK_BANDS = ((64, 0.0, 3.5), (128, 0.8, 3.5), (256, 1.07, 5.0), (512, 1.2, 6.0), (1024, 1.28, 6.0), (2048, 1.32, 8.0), (4096, 1.35, 8.0))
 SCHEMA = """doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,
     base_failed boolean, kept boolean, ratio double, n_bad_chunks long"""
 _SYMBOLS = bytes(range(256)).translate(None, b"#*$%&|<>")
@@ -71,16 +73,21 @@ def base(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
+def limits(n: int, bands: tuple) -> tuple[float, float]:
+    """Least and greatest ratio of ``n`` bytes."""
+    return next((low, high) for most, low, high in bands if n <= most)
+
+
 def band_verdict(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple[bool, float, int]:
-    """Whether the text lies within the bands; its whole ratio; chunks outside the chunk band."""
+    """Whether the text lies within the bands; its whole ratio; chunks outside their bands."""
     ratio = len(text) / max(1, len(zstd.compress(text)))
-    low, high = next((lo, hi) for most, lo, hi in BANDS if len(text) <= most)
+    low, high = limits(len(text), BANDS)
     bad = chunks = 0
-    if len(text) >= 2 * CHUNK_BYTES:
-        for at in range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES):
-            r = CHUNK_BYTES / len(zstd.compress(text[at : at + CHUNK_BYTES]))
-            chunks += 1
-            bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
+    for at in range(0, len(text), CHUNK_BYTES):
+        chunk = text[at : at + CHUNK_BYTES]
+        least, most = limits(len(chunk), CHUNK_BANDS)
+        chunks += 1
+        bad += not least <= len(chunk) / len(zstd.compress(chunk)) <= most
     return low <= ratio <= high and bad <= MAX_BAD_CHUNKS * chunks, ratio, bad
 
 

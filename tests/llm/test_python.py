@@ -255,6 +255,19 @@ def test_compression_rules(spark):
     assert compression.rules(docs(spark, [])).count() == 0
 
 
+def test_bad_ends_of_any_length_are_chunk_tested():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    prose = " ".join(rng.choice(words) for _ in range(3000)).encode()
+    zstd = zstandard.ZstdCompressor(level=3)
+    printable = bytes(rng.randrange(33, 127) for _ in range(4000))
+    base64 = bytes(rng.choice(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(4000))
+    for n, end in ((7500, 3900), (5500, 2500), (12100, 4000)):
+        assert compression.band_verdict(prose[:n], zstd)[0]
+        for tail in (printable, base64, b"x" * 4000):
+            assert not compression.band_verdict(prose[: n - end] + tail[:end], zstd)[0]
+
+
 # Language
 
 
