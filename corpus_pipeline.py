@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from streammart.llm import bpe, jaccard, langid, mixing, secrets
 from streammart.llm.common import staged, table, with_missing
 
+#: Near duplicates: shingles of so many words, similarity of so many percent or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -25,15 +27,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: the smallest doc_id.
+    """One row of each group of linked ones stays: the smallest doc_id (null last), of equal ids one text.
 
-    Documents without a word or without a doc_id are in no group and stay.
+    Rows are told apart by doc_id and text, so unrelated rows of one doc_id are judged apart; of repeated
+    rows one stays. Rows without a word are in no group and stay.
     """
-    docs = with_missing(docs, COLUMNS)
-    groups = jaccard.joined(docs).filter("doc_id is not null and n_shingles > 0 and doc_id != component_id")
-    gone = staged(groups.select("doc_id").distinct(), "gone")
-    few = gone.count() <= jaccard.BROADCAST_KEYS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    key = ["doc_id", "row_key"]
+    docs = with_missing(docs, COLUMNS).withColumn("row_key", F.xxhash64("text"))
+    groups = jaccard.joined(docs, NEAR_WORDS, NEAR_PERCENT, ("row_key",)).filter("n_shingles > 0")
+    rows = staged(groups.groupBy(*key).agg(F.first("root").alias("root"), F.count("*").alias("n")), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), *key)
+    first = rows.groupBy("root").agg(F.min(place).alias("first"))
+    marked = rows.join(first, "root").select(*key, "n", (place == F.col("first")).alias("stays"))
+    marked = staged(marked.filter("not stays or n > 1"), "marked")
+
+    def among(some: DataFrame, kind: str, those: DataFrame) -> DataFrame:
+        side = those.select(*(F.col(c).alias(f"{c}_") for c in key))
+        side = F.broadcast(side) if those.count() <= jaccard.BROADCAST_KEYS else side
+        return some.join(side, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & F.col("row_key").eqNullSafe(F.col("row_key_")), kind)
+
+    kept = among(docs, "left_anti", marked.filter("not stays"))
+    twice = marked.filter("stays")
+    if not twice.isEmpty():
+        kept = among(kept, "left_anti", twice).unionByName(among(kept, "left_semi", twice).dropDuplicates(key))
+    return kept.select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
