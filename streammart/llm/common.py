@@ -29,15 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The shared folder of spark.checkpoint.dir; where that is unset on one machine (tests), a temporary one.
+
+    On a cluster each executor would write to a disk of its own, so there the setting must be made.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="streammart-")
         sc.setCheckpointDir(root)
     return root
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of ``df``."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it back.
 

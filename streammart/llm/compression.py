@@ -1,13 +1,15 @@
 """Quality rules: base rules on words and lines, then zstandard compression bands.
 
-A document that passes the base rules is compressed as a whole and in fixed chunks. Its ratio (bytes
+A document that passes the base rules is compressed as a whole and in fixed chunks (for others ``ratio``
+and ``n_bad_chunks`` are null). Its ratio (bytes
 in, over bytes out) must lie within the band of its length class: above it the text is repetitive,
 below it incompressible. The whole text catches copies far apart; chunks, the short last one too, catch
 a bad part of a text: more than ``MAX_BAD_CHUNKS`` of them outside the band of their length reject it.
 
 Defined results: null text has no words and fails the base rules; repeated rows and equal or null
 doc_ids are rows of their own; an empty table gives no rows; other columns are ignored; whole texts
-count, however long (memory holds one text and its words at a time).
+count, however long (memory holds one text and its words at a time); ill-formed UTF-8 counts as its
+bytes, where every byte but continuation bytes is a character.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from streammart.llm.common import table
-from streammart.llm.tokens import lean, sliced
+from streammart.llm.tokens import lean, sliced, texts
 
 NAME = "op3_compression_bands"
 SQL = None
@@ -34,6 +36,7 @@ BANDS = ((256, 0.95, 3.0), (1024, 1.15, 4.5), (4096, 1.3, 6.0), (16384, 1.4, 8.0
 CHUNK_BANDS = ((64, 0.0, 3.5), (128, 0.8, 3.5), (256, 1.07, 5.0), (512, 1.2, 6.0), (1024, 1.28, 6.0), (2048, 1.32, 8.0), (4096, 1.35, 8.0))
 SCHEMA = """doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,
     base_failed boolean, kept boolean, ratio double, n_bad_chunks long"""
+TYPES = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64(), pa.int64()]
 _SYMBOLS = bytes(range(256)).translate(None, b"#*$%&|<>")
 _SPACE = b" \t\n\r\x0b\x0c"
 _NOT_START = bytes(range(0x80, 0xC0))
@@ -95,13 +98,12 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zstd = zstandard.ZstdCompressor(level=LEVEL)
     for batch in sliced(batches):
         out: list[tuple] = []
-        for x in batch.column("text"):
-            text = (x.as_py() or "").encode()
+        for text in texts(batch):
             found = base(text)
             failed = found[0] < MIN_WORDS or 100 * found[4] > MAX_REPEAT_PERCENT * found[0]
-            within, ratio, bad = band_verdict(text, zstd)
+            within, ratio, bad = (False, None, None) if failed else band_verdict(text, zstd)
             out.append((*found, failed, within and not failed, ratio, bad))
-        columns = [pa.array(c) for c in zip(*out, strict=True)]
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *columns],
             ["doc_id", *(f.split()[0] for f in SCHEMA.split(",")[1:])],

@@ -7,14 +7,16 @@ sets are compared. All orders put tokens that many documents hold last, by their
 the rest differently. The first order's prefixes are indexed by token; in a token's bucket, the sets
 with the fewest rarer tokens are hubs: all others are paired with them first and components are
 contracted, so that a group of thousands of near copies gives about two links each and not all its
-pairs; a second wave pairs what still isn't connected. Size and position bounds, the other orders and a
-parity bitmap (its differing bits never exceed the sets' difference) prune pairs without loss; then
-the sets themselves decide.
+pairs; a second wave pairs what still isn't connected. Size and position bounds prune pairs without loss.
+Then the filters of all orders are intersected: a pair meets the two sets' prefixes under every other
+order and a parity bitmap (its differing bits never exceed the sets' difference), and only pairs that
+pass them all are joined with the sets themselves, which decide.
 
 Defined results: case is folded for A-Z; null and empty texts and those without a word have the empty
 set and are linked with nothing; fewer words than a shingle make one shingle; a null doc_id takes part
 and its component is named by the others (null if alone); rows with equal doc_id are rows of their
-own; an empty table gives no rows; other columns are ignored. Tokens are 64-bit hashes, kept to 48.
+own; an empty table gives no rows; other columns are ignored; ill-formed UTF-8 counts as its bytes.
+Tokens are 64-bit hashes, kept to 48; sets are told apart by 128-bit digests of the 64-bit ones.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streammart.llm.common import drop_staged, staged, table
 from streammart.llm.components import components
-from streammart.llm.tokens import lean, sliced
+from streammart.llm.tokens import lean, sliced, texts
 
 NAME = "op4_jaccard_orders"
 WORDS, PERCENT, ORDERS = 4, 85, 3
@@ -37,6 +40,8 @@ HOT_TOKENS, HOT_COPIES = 200_000, 16
 WAVES = ((0, 2), (2, 1 << 40))
 #: Keys up to this number are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1 << 19
+#: Parts that the rows of one key are dealt into where a join is by shuffle.
+SALTS = 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -57,9 +62,9 @@ class Hashes(dict):
         return value
 
 
-def shingle_sets(texts: list[bytes], words: int, known: Hashes) -> list[np.ndarray]:
+def shingle_sets(found: list[bytes], words: int, known: Hashes) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingles of each text."""
-    split = [t.lower().split() for t in texts]
+    split = [t.lower().split() for t in found]
     flat = np.fromiter((known[w] for ws in split for w in ws), np.uint64, sum(map(len, split)))
     rolled = np.zeros(max(0, len(flat) - words + 1), np.uint64)
     for i in range(words):
@@ -128,47 +133,66 @@ def ordered(tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray, k: int) -> np
     return np.concatenate([rare, late])
 
 
-def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, text) -> doc_id, n, node (hash of the set), bits (bitmap), tokens (packed)."""
+def sets(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, ..) -> rid (of the row), doc_id, ``keep`` columns, n, name (digest of the set), bits, tokens (packed)."""
 
     def run(batches):
-        known = Hashes()
+        known, rid = Hashes(), TaskContext.get().partitionId() << 36
         for batch in sliced(batches):
-            found = shingle_sets([(x.as_py() or "").encode() for x in batch.column("text")], words, known)
+            found = shingle_sets(list(texts(batch)), words, known)
             cut = [x >> np.uint64(16) for x in found]
-            nodes = [xxhash.xxh64_intdigest(x.tobytes(), seed=len(x)) - (1 << 63) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    pa.array(range(rid, rid + len(found)), pa.int64()),
+                    *(batch.column(c) for c in ("doc_id", *keep)),
                     pa.array([len(x) for x in found], pa.int64()),
-                    pa.array(nodes, pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(x.tobytes(), seed=len(x)) for x in found], pa.binary()),
                     pa.array([bitmap(x) if len(x) else b"" for x in cut], pa.binary()),
                     pa.array([packed(x) for x in cut], pa.binary()),
                 ],
-                ["doc_id", "n", "node", "bits", "tokens"],
+                ["rid", "doc_id", *keep, "n", "name", "bits", "tokens"],
             )
+            rid += len(found)
 
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return rows.mapInArrow(lean(run), "doc_id long, n long, node long, bits binary, tokens binary")
+    rows = docs.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string"))
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(lean(run), f"rid long, doc_id long{kept}, n long, name binary, bits binary, tokens binary")
+
+
+def named(found: DataFrame) -> DataFrame:
+    """name, node, n, doc_id: each distinct set once; its node is the least rid that holds it."""
+    some = found.groupBy("name").agg(F.min("rid").alias("node"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    return staged(some, "names")
+
+
+def spread(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` (unique by ``key``), however many rows share a key.
+
+    A small side is broadcast after a count; a larger one is repeated under SALTS salts, among which the
+    rows of one key are dealt.
+    """
+    if side.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(side), key, how)
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    return dealt.join(side.select("*", salts), [key, "salt"], how).drop("salt")
 
 
 def _copies(batches):
-    """Tokens that a part of the table holds twice or more, with their numbers; equal sets count once."""
+    """Tokens that a part of the table holds twice or more, with their numbers."""
 
     def counted(parts):
         token, n = np.unique(np.concatenate(parts), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(token[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "copies"])
 
-    parts, held, seen = [], 0, set()
+    parts, held = [], 0
     for batch in batches:
-        for node, raw in zip(batch.column("node").to_pylist(), batch.column("tokens"), strict=True):
-            if node not in seen:
-                seen.add(node)
-                parts.append(unpacked(raw.as_py()))
-                held += len(parts[-1])
+        for raw in batch.column("tokens"):
+            parts.append(unpacked(raw.as_py()))
+            held += len(parts[-1])
         if held > 1_000_000:
             yield counted(parts)
-            parts, held, seen = [], 0, set()
+            parts, held = [], 0
     if parts:
         yield counted(parts)
 
@@ -176,7 +200,7 @@ def _copies(batches):
 def hot_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens, ascending, and the rank of each by count: a bounded list."""
     rows = (
-        found.select("node", "tokens")
+        found.select("tokens")
         .mapInArrow(lean(_copies), "token long, copies long")
         .groupBy("token")
         .agg(F.sum("copies").alias("copies"))
@@ -197,10 +221,9 @@ def prefixes(found: DataFrame, hot, percent: int) -> DataFrame:
     def run(batches):
         tokens, rank = hot.value
         for batch in batches:
-            seen, out = set(), []
+            out = []
             for n, node, raw in zip(batch.column("n").to_pylist(), batch.column("node").to_pylist(), batch.column("tokens"), strict=True):
-                if n and node not in seen:
-                    seen.add(node)
+                if n:
                     mine = ordered(unpacked(raw.as_py()), tokens, rank, 0)[: prefix_size(n, percent)]
                     out.append((mine, n, node))
                 if len(out) >= 2000:
@@ -309,58 +332,89 @@ def paired(rows: DataFrame, low: int, high: int, percent: int) -> DataFrame:
 
 
 def _needed(found: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """One row of ``found`` for each node of ``pairs``."""
+    """The rows of ``found`` whose node is in ``pairs``."""
     nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     few = nodes.count() <= BROADCAST_KEYS
-    return found.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", *columns).dropDuplicates(["node"])
+    return found.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", *columns)
 
 
-def verified(pairs: DataFrame, found: DataFrame, hot, percent: int) -> DataFrame:
-    """The pairs that link: bitmaps, then the other orders' prefixes, then the sets."""
+def _both(some: DataFrame, part: DataFrame) -> DataFrame:
+    """Pairs with the columns of ``part`` for either end."""
+    left = part.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in part.columns[1:]))
+    right = part.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in part.columns[1:]))
+    return some.join(left, "a").join(right, "b")
 
-    def both(some, part):
-        left = part.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in part.columns[1:]))
-        right = part.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in part.columns[1:]))
-        return some.join(left, "a").join(right, "b")
 
-    def by_bitmap(batches):
+def signatures(found: DataFrame, hot, percent: int) -> DataFrame:
+    """(node, n, bits, tokens) -> node, n, bits and the packed prefixes under the orders after the first."""
+
+    def run(batches):
+        tokens, rank = hot.value
         for batch in batches:
-            ok = [
-                differing(x, y) <= m + n - 2 * least_overlap(m, n, percent)
-                for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")), strict=True)
+            sets_ = [unpacked(x.as_py()) for x in batch.column("tokens")]
+            cuts = [
+                pa.array([packed(np.sort(ordered(x, tokens, rank, k)[: prefix_size(len(x), percent)])) for x in sets_], pa.binary())
+                for k in range(1, ORDERS)
             ]
-            kept = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "n", "bits")), *cuts], ["node", "n", "bits", *names])
+
+    names = [f"prefix{k}" for k in range(1, ORDERS)]
+    return found.select("node", "n", "bits", "tokens").mapInArrow(lean(run), ", ".join(["node long, n long, bits binary", *(f"{c} binary" for c in names)]))
+
+
+def passed(pairs: DataFrame, found: DataFrame, hot, percent: int) -> DataFrame:
+    """a, b, orders: under how many orders in turn the pair shares a prefix token; ORDERS + 1 if the bitmaps agree too."""
+
+    def run(batches):
+        for batch in batches:
+            out = np.ones(batch.num_rows, np.int32)
+            for k in range(1, ORDERS):
+                left, right = batch.column(f"prefix{k}_a"), batch.column(f"prefix{k}_b")
+                for i in np.flatnonzero(out == k).tolist():
+                    x, y = unpacked(left[i].as_py()), unpacked(right[i].as_py())
+                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    out[i] += bool((x[at] == y).any())
+            bits = (batch.column("bits_a"), batch.column("bits_b"))
+            m, n = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            room = m + n - 2 * least_overlap(m, n, percent)
+            for i in np.flatnonzero(out == ORDERS).tolist():
+                out[i] += differing(bits[0][i].as_py(), bits[1][i].as_py()) <= room[i]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "orders"])
+
+    part = signatures(_needed(found, pairs, ["n", "bits", "tokens"]), hot, percent)
+    return _both(pairs, part).mapInArrow(lean(run), "a long, b long, orders int")
+
+
+def verified(pairs: DataFrame, found: DataFrame, hot, percent: int) -> DataFrame:
+    """The pairs that link: all orders' filters first, then the sets of the pairs that pass them."""
 
     def by_sets(batches):
-        tokens, rank = hot.value
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
                 x, y = unpacked(x.as_py()), unpacked(y.as_py())
-                shared = all(
-                    len(
-                        np.intersect1d(
-                            ordered(x, tokens, rank, k)[: prefix_size(len(x), percent)],
-                            ordered(y, tokens, rank, k)[: prefix_size(len(y), percent)],
-                            assume_unique=True,
-                        )
-                    )
-                    for k in range(1, ORDERS)
-                )
-                same = len(np.intersect1d(x, y, assume_unique=True)) if shared else 0
-                ok.append(shared and 100 * same >= percent * (len(x) + len(y) - same))
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * same >= percent * (len(x) + len(y) - same))
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
-    close = staged(both(pairs, _needed(found, pairs, ["n", "bits"])).mapInArrow(lean(by_bitmap), "a long, b long"), "close")
-    return both(close, _needed(found, close, ["tokens"])).mapInArrow(lean(by_sets), "a long, b long")
+    close = staged(passed(pairs, found, hot, percent).filter(F.col("orders") > ORDERS).select("a", "b"), "close")
+    return _both(close, _needed(found, close, ["tokens"])).mapInArrow(lean(by_sets), "a long, b long")
+
+
+def indexed(docs: DataFrame, words: int, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows' sets, the distinct sets (node, n, bits, tokens), and their names."""
+    every = staged(sets(docs, words, keep), "sets")
+    names = named(every)
+    nodes, few = names.select(F.col("node").alias("rid")), names.count() <= BROADCAST_KEYS
+    found = every.join(F.broadcast(nodes) if few else nodes, "rid", "left_semi")
+    return every, found.select(F.col("rid").alias("node"), "n", "bits", "tokens"), names
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, node, root (of the component), component_id."""
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, ..) -> doc_id, ``keep`` columns, n_shingles, root (of the component), component_id."""
     spark = docs.sparkSession
-    found = staged(sets(docs, words), "sets")
+    every, found, names = indexed(docs, words, keep)
     hot = spark.sparkContext.broadcast(hot_tokens(found))
     held = staged(members(prefixes(found, hot, percent), percent), "members")
     links = None
@@ -375,17 +429,19 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         drop_staged(pairs)
         links = new if links is None else links.unionByName(new)
         roots = components(links)
-    rows = found.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("name"))
-    named = rows.join(names, "root", "left").select(
+    # Components are named over distinct sets, whose rows have been counted together; copies come last.
+    nodes = staged(names.join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("root"), F.col("node").alias("rid"), "doc_id"), "roots")
+    least = staged(nodes.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    sides = staged(spread(nodes.select("name", "root", "rid"), least, "root").select("name", "root", "least"), "sides")
+    rows = spread(every.select("rid", "doc_id", *keep, "n", "name"), sides, "name").select(
         "doc_id",
+        *keep,
         F.col("n").alias("n_shingles"),
-        "node",
         "root",
-        F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
     )
-    result = staged(named, "joined")  # some tens of bytes a document; the sets go
-    for old in (found, held):
+    result = staged(rows, "joined")  # some tens of bytes a document; the sets go
+    for old in (every, held, names, nodes, least, sides):
         drop_staged(old)
     return result
 

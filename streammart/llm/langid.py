@@ -8,34 +8,35 @@ with the greatest cosine. Rejection is by distance: a text farther from its cent
 training rows of that language are (quantile ``REJECT_QUANTILE`` and a margin that grows for short
 texts, whose vectors scatter) is rejected.
 
-Training is bounded by ``SAMPLE_ROWS`` rows over all languages, chosen by a digest of doc_id and never
-from held-out rows. The model is a few MB whatever the corpus; prediction needs no shuffle.
+Training is bounded by ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` of text over all languages, chosen by a
+digest of doc_id and text and never from held-out rows. The model is a few MB whatever the corpus; prediction needs no shuffle.
 
 Defined results: null text or one without a letter gives ``und``, score 0, rejected; so does every row
 where no training row exists; null doc_id is not held out; repeated rows are rows of their own; an
-empty table gives no rows; other columns are ignored; lang, source and doc_id are never inputs.
+empty table gives no rows; other columns are ignored; ill-formed UTF-8 counts as its bytes and is no
+letter; very long texts count whole; equal cosines go to the first centroid; lang, source and doc_id are never inputs.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streammart.llm.common import table
-from streammart.llm.tokens import lean, release, sliced
+from streammart.llm.tokens import lean, release, sliced, texts
 
 NAME = "op2_language_centroids"
 SQL = None
 MAX_N, DIMENSIONS, CENTROIDS, ROUNDS = 3, 1 << 13, 12, 8
-SAMPLE_ROWS = 3000
+#: Bounds of what the model is fitted on.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
 REJECT_QUANTILE, MARGIN, SHORT = 0.01, 0.2, 6.0
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint32)
 
 
@@ -76,7 +77,8 @@ def clustered(v: np.ndarray, k: int) -> np.ndarray:
 
 
 def has_letter(text: str) -> bool:
-    return _LETTER.search(text) is not None
+    """Whether some character is a letter (Unicode category L)."""
+    return any(map(str.isalpha, text))
 
 
 def leeway(n_bytes: np.ndarray) -> np.ndarray:
@@ -84,18 +86,18 @@ def leeway(n_bytes: np.ndarray) -> np.ndarray:
     return SHORT / np.sqrt(n_bytes + 100.0)
 
 
-def fit(rows: list[tuple[str, str]]) -> dict:
+def fit(rows: list[tuple[bytes, str]]) -> dict:
     """Model from (text, lang) rows: langs, centroids (language of each), idf, and the least cosines."""
-    rows = sorted((r for r in rows if r[0] and r[1] is not None and has_letter(r[0])), key=lambda r: (r[1], r[0]))
+    rows = sorted((r for r in rows if r[0] and r[1] is not None and has_letter(r[0].decode(errors="replace"))), key=lambda r: (r[1], r[0]))
     if not rows:
         return {"langs": []}
     v = np.empty((len(rows), DIMENSIONS), np.float32)
     for j, (t, _) in enumerate(rows):
-        v[j] = counts(t.encode())
+        v[j] = counts(t)
     idf = (np.log((1 + len(rows)) / (1 + np.count_nonzero(v, axis=0))) + 0.1).astype(np.float32)
     vectors(v, idf)
     langs = sorted({lang for _, lang in rows})
-    size = np.array([len(t.encode()) for t, _ in rows], float)
+    size = np.array([len(t) for t, _ in rows], float)
     ends = np.searchsorted([lang for _, lang in rows], langs, "right").tolist()
     centers, owner, least = [], [], []
     for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):  # one language's rows: a view
@@ -113,22 +115,21 @@ def fit(rows: list[tuple[str, str]]) -> dict:
     }
 
 
-def predicted(model: dict, texts: list[str]) -> list[tuple[str, float, bool]]:
+def predicted(model: dict, found: list[bytes]) -> list[tuple[str, float, bool]]:
     """(language, score, rejected) of each text."""
     if not model["langs"]:
-        return [("und", 0.0, True)] * len(texts)
+        return [("und", 0.0, True)] * len(found)
     out: list[tuple[str, float, bool]] = []
-    for at in range(0, len(texts), 256):
-        some = texts[at : at + 256]
-        raw = [t.encode() for t in some]
+    for at in range(0, len(found), 256):
+        raw = found[at : at + 256]
         near = vectors(np.array([counts(t) for t in raw]), model["idf"]) @ model["centers"].T
         best = np.argmax(near, axis=1)
-        score = near[np.arange(len(some)), best]
+        score = near[np.arange(len(raw)), best]
         lang = model["owner"][best]
         size = np.array([len(t) for t in raw], float)
         far = score + leeway(size) < model["least"][lang]
-        for j, t in enumerate(some):
-            if has_letter(t):
+        for j, t in enumerate(raw):
+            if has_letter(t.decode(errors="replace")):
                 out.append((model["langs"][lang[j]], float(min(1.0, max(0.0, score[j]))), bool(far[j])))
             else:
                 out.append(("und", 0.0, True))
@@ -140,16 +141,34 @@ def held_out() -> F.Column:
 
 
 def trained(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
-    """Fits the model on at most about ``rows`` labelled rows, as many of each language."""
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    """Fits the model on at most ``rows`` labelled rows and ``SAMPLE_BYTES`` of text, alike of each language.
+
+    A row's place in the draw is a digest of its doc_id and text, so the sample is the same however the
+    table is split. Every language has a row at least; of more languages than ``rows``, the most frequent.
+    """
+    usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("text").cast("binary").alias("text"), "lang", F.col("doc_id").cast("string").alias("id")
+    )
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 32)).cast("double") / float(1 << 32)
+    per = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).orderBy(F.desc("n"), "lang").limit(rows)
+    sizes = per.collect()
     if not sizes:
         return fit([])
     each = max(1, rows // len(sizes))
-    part = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))])
-    chosen = usable.filter(draw < part[F.col("lang")] * float(2**32)).select("text", "lang")
-    model = fit([(r["text"], r["lang"]) for r in chosen.limit(2 * rows).toLocalIterator()])
+    # A first cut by a hash of doc_id leaves about twice the wanted rows of each language, one at least;
+    # the order of digests decides among them.
+    cuts = [(r["lang"], max(r["least"], min(1.0, (2 * each + 50) / r["n"]))) for r in sizes]
+    cuts = docs.sparkSession.createDataFrame(cuts, "lang string, upto double")
+    near = usable.join(F.broadcast(cuts), "lang").filter(draw <= F.col("upto")).withColumn("key", F.md5(F.concat_ws("|", "id", F.md5("text"))))
+    order = W.partitionBy("lang").orderBy("key", "text")
+    chosen = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).orderBy("n", "lang").select("text", "lang")
+    found, held = [], 0
+    for r in chosen.toLocalIterator():
+        found.append((bytes(r["text"]), r["lang"]))
+        held += len(found[-1][0])
+        if held > SAMPLE_BYTES:
+            break
+    model = fit(found)
     release()
     return model
 
@@ -161,7 +180,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in sliced(batches):
-            found = predicted(known, [x.as_py() or "" for x in batch.column("text")])
+            found = predicted(known, list(texts(batch)))
             columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), *columns], ["doc_id", "held_out", "lang_pred", "score", "rejected"]
@@ -180,7 +199,7 @@ def labelled(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in sliced(batches):
-            found = predicted(known, [x.as_py() or "" for x in batch.column("text")])
+            found = predicted(known, list(texts(batch)))
             columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, "lang_pred", "score", "rejected"])
 

@@ -15,7 +15,8 @@ bucket per source that holds the budget's edge are sorted.
 
 Defined results: a null text has size 0; size-0 documents are taken 0 words; a null source is a source
 of its own; rows with equal doc_id share a key and are ordered by size, the whole run of equal rows
-being taken or not by its own place; null doc_id draws as the empty string; empty tables give no rows.
+being taken or not by its own place; null doc_id draws as the empty string; empty tables give no rows;
+ill-formed UTF-8 counts as its bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streammart.llm.common import staged, table
-from streammart.llm.tokens import lean, sliced
+from streammart.llm.tokens import lean, sliced, texts
 
 NAME = "op7_mix_sources"
 WEIGHTS = (5, 2, 1)
@@ -42,7 +43,7 @@ def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def count(batches):
         for batch in sliced(batches):
-            sizes = [len((x.as_py() or "").encode().split()) for x in batch.column("text")]
+            sizes = [len(t.split()) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), pa.array(np.array(sizes, np.int64))], [*keep, "size"]
             )

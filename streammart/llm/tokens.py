@@ -13,7 +13,7 @@ SLICE_BYTES = 4 << 20
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
-    """The UTF-8 bytes of each text; null is empty."""
+    """The bytes of each text as they are, well-formed UTF-8 or not; null is empty."""
     for x in batch.column(column).cast(pa.large_binary()):
         yield x.as_py() or b""
 
