@@ -59,6 +59,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys up to this number are broadcast (some tens of bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 1 << 19
+#: Parts that the rows of one key are dealt into where a join is by shuffle.
+SALTS = 16
+
+
+def spread(rows: DataFrame, side: DataFrame, keys: list[str], salt: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """``rows`` joined with ``side`` (unique by ``keys``), however many rows share a key.
+
+    A small side is broadcast after a count; a larger one is repeated under SALTS salts, among which the
+    rows of one key are dealt by a hash of their ``salt`` columns.
+    """
+    if side.count() <= (BROADCAST_KEYS if most is None else most):
+        return rows.join(F.broadcast(side), keys, how)
+    dealt = rows.withColumn("salt_", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt_")
+    return dealt.join(side.select("*", salts), [*keys, "salt_"], how).drop("salt_")
+
+
 def drop_staged(df: DataFrame) -> None:
     """Removes the files of a table made by ``staged`` that nothing reads any more."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streammart.llm.common import drop_staged, staged, table
+from streammart.llm.common import BROADCAST_KEYS, drop_staged, spread, staged, table
 from streammart.llm.components import components
 from streammart.llm.tokens import lean, sliced, texts
 
@@ -38,10 +38,6 @@ WORDS, PERCENT, ORDERS = 4, 85, 3
 HOT_TOKENS, HOT_COPIES = 200_000, 16
 #: Rows of a bucket that each wave pairs with all after them, from and to.
 WAVES = ((0, 2), (2, 1 << 40))
-#: Keys up to this number are broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_KEYS = 1 << 19
-#: Parts that the rows of one key are dealt into where a join is by shuffle.
-SALTS = 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -165,19 +161,6 @@ def named(found: DataFrame) -> DataFrame:
     return staged(some, "names")
 
 
-def spread(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``side`` (unique by ``key``), however many rows share a key.
-
-    A small side is broadcast after a count; a larger one is repeated under SALTS salts, among which the
-    rows of one key are dealt.
-    """
-    if side.count() <= BROADCAST_KEYS:
-        return rows.join(F.broadcast(side), key, how)
-    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
-    return dealt.join(side.select("*", salts), [key, "salt"], how).drop("salt")
-
-
 def _copies(batches):
     """Tokens that a part of the table holds twice or more, with their numbers."""
 
@@ -432,8 +415,8 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keep: tu
     # Components are named over distinct sets, whose rows have been counted together; copies come last.
     nodes = staged(names.join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("root"), F.col("node").alias("rid"), "doc_id"), "roots")
     least = staged(nodes.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
-    sides = staged(spread(nodes.select("name", "root", "rid"), least, "root").select("name", "root", "least"), "sides")
-    rows = spread(every.select("rid", "doc_id", *keep, "n", "name"), sides, "name").select(
+    sides = staged(spread(nodes.select("name", "root", "rid"), least, ["root"], ["rid"], most=BROADCAST_KEYS).select("name", "root", "least"), "sides")
+    rows = spread(every.select("rid", "doc_id", *keep, "n", "name"), sides, ["name"], ["rid"], most=BROADCAST_KEYS).select(
         "doc_id",
         *keep,
         F.col("n").alias("n_shingles"),

@@ -2,25 +2,29 @@
 
 Every version of a text is addressed by its content (SHA-256). Only blobs that the ledger hasn't yet
 seen under the current rule version are scanned, each once however many paths hold it; findings go
-back to all paths by blob. ``scan`` returns the ledger's new rows, so the next run is incremental.
+back to all paths by blob. The ledger lasts: a Parquet table of (rule_version, blob) with the places of
+findings, to which every run appends what it scanned and which the next run reads, whatever table it
+scans; a change of rules is a new rule version, and all is scanned anew.
 
 Rules: the three base kinds, and two more: ``pem`` (a private-key header) and ``jwt`` (a signed token).
 
 Defined results: a null text is empty and has no finding; rows with equal doc_id are separate versions
 and rows of their own; null doc_id too; an empty table gives no rows; other columns are ignored; a
-blob held by any number of documents is scanned once.
+blob held by any number of documents is scanned once; ill-formed UTF-8 is read as Java reads it; very
+long texts count whole, in time that grows with their length.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streammart.llm import spans as S
-from streammart.llm.common import staged, table
+from streammart.llm.common import BROADCAST_KEYS, scratch_root, spread, staged, table
 
 NAME = "op9_secret_ledger"
-RULE_VERSION = 1
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[a-z0-9+/_.=-]+"""
@@ -31,6 +35,13 @@ HEX = r"[0-9a-f]{32,}"
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 JWT = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 
+#: The rules in force, by a digest of all patterns.
+RULE_VERSION = hashlib.sha256("\n".join((ASSIGN, ASSIGN_HEAD, ACCESS, HEX, PEM, JWT)).encode()).hexdigest()[:16]
+SPAN = "struct<start:int,rank:int,end:int,kind:string>"
+LEDGER = f"blob binary, base array<{SPAN}>, more array<{SPAN}>"
+#: Blobs with findings up to this number (some hundred bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_HITS = 1 << 17
+
 
 def base_spans(text: Column) -> Column:
     low = F.lower(text)
@@ -53,72 +64,97 @@ def more_spans(text: Column) -> Column:
     )
 
 
+def blob_of(text: Column) -> Column:
+    """The address of a version: the SHA-256 of its content, a null text being empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def versions(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> path, blob: the address of every version."""
-    return docs.select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
-
-
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """Ledger rows (blob, rule_version, base, more) of the blobs in ``docs`` that ``ledger`` lacks."""
-    blobs = versions(docs).groupBy("blob").agg(F.min("path").alias("path"))
-    if ledger is not None:
-        seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
-        blobs = blobs.join(seen, "blob", "left_anti")
-    text = F.coalesce("text", F.lit(""))
-    contents = docs.select(
-        F.col("doc_id").alias("at"), text.alias("text"), F.sha2(text, 256).alias("content")
-    )
-    # A blob's text is taken from one path; the same path can hold equal rows twice, so one is kept.
-    unseen = contents.join(
-        blobs, contents["at"].eqNullSafe(blobs["path"]) & (contents["content"] == blobs["blob"])
-    ).select("blob", "text")
-    scanned = unseen.select(
-        "blob",
-        F.lit(rule_version).alias("rule_version"),
-        S.in_order(base_spans(F.col("text"))).alias("base"),
-        S.in_order(more_spans(F.col("text"))).alias("more"),
-    )
-    return scanned.dropDuplicates(["blob"])
+    return docs.select(F.col("doc_id").alias("path"), blob_of(F.col("text")).alias("blob"))
+
+
+def ledger_path(spark: SparkSession) -> str:
+    """The lasting ledger: the setting ``streammart.secrets.ledger``, or a folder beside the checkpoints."""
+    return spark.conf.get("streammart.secrets.ledger", None) or f"{scratch_root(spark)}/secret-ledger"
+
+
+def read_ledger(spark: SparkSession, path: str, rule_version: str = RULE_VERSION) -> DataFrame | None:
+    """blob, base, more of every blob scanned under the rules, one row each; None before the first scan."""
+    part = f"{path}/rule_version={rule_version}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema(LEDGER).parquet(part).dropDuplicates(["blob"])  # two scans at a time may write one blob
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """Ledger rows (blob, base, more) of the blobs in ``docs`` that ``ledger`` lacks, each scanned once.
+
+    Copies meet in the aggregate, within tasks first, so a blob that a third of all paths hold is no hot key.
+    """
+    texts = docs.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    if ledger is not None:  # addresses first: only texts of unseen blobs move
+        unseen = staged(versions(docs).select("blob").distinct().join(ledger.select("blob"), "blob", "left_anti"), "unseen")
+        few = unseen.count() <= BROADCAST_KEYS
+        texts = texts.join(F.broadcast(unseen) if few else unseen, "blob", "left_semi")
+    # The largest of equal texts is any of them; unlike first(), it is the same on every run.
+    once = texts.groupBy("blob").agg(F.max("text").alias("text"))
+    return once.select("blob", _bare(S.in_order(base_spans(F.col("text")))).alias("base"), _bare(S.in_order(more_spans(F.col("text")))).alias("more"))
+
+
+def _bare(spans: Column) -> Column:
+    """Places and kinds alone: the ledger holds no secret."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+
+def record(docs: DataFrame, path: str | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Scans what the lasting ledger at ``path`` lacks, appends it, and gives the ledger back."""
+    spark = docs.sparkSession
+    path = path or ledger_path(spark)
+    new = scan(docs, read_ledger(spark, path, rule_version))
+    new.write.mode("append").parquet(f"{path}/rule_version={rule_version}")
+    return read_ledger(spark, path, rule_version)
+
+
+def hits_of(ledger: DataFrame) -> DataFrame:
+    return ledger.filter((F.size("base") > 0) | (F.size("more") > 0)).select("blob", "base", "more")
+
+
+def _with_hits(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``rows`` with a ``blob`` beside base and more of it, null where it has no finding."""
+    addresses = rows.select("blob").distinct()
+    hits = staged(hits_of(ledger).join(addresses, "blob", "left_semi"), "hits")
+    return spread(rows.withColumn("rid_", F.monotonically_increasing_id()), hits, ["blob"], ["rid_"], "left", most=BROADCAST_HITS).drop("rid_")
 
 
 def findings(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every version's path with its blob's findings: doc_id, base, more (arrays of spans)."""
-    hits = ledger.filter((F.size("base") > 0) | (F.size("more") > 0)).select("blob", "base", "more")
-    empty = F.expr(S.NONE)
-    return (
-        versions(docs)
-        .join(hits, "blob", "left")
-        .select(
-            F.col("path").alias("doc_id"),
-            F.coalesce("base", empty).alias("base"),
-            F.coalesce("more", empty).alias("more"),
-        )
+    empty = F.expr(f"cast(array() as array<{SPAN}>)")
+    return _with_hits(versions(docs), ledger).select(
+        F.col("path").alias("doc_id"),
+        F.coalesce("base", empty).alias("base"),
+        F.coalesce("more", empty).alias("more"),
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET]`` and n_chars set anew; same columns."""
-    ledger = staged(scan(docs), "ledger")
-    hits = ledger.filter((F.size("base") > 0) | (F.size("more") > 0)).select(
-        "blob", F.concat("base", "more").alias("secret_spans")
-    )
-    blob = F.sha2(F.coalesce("text", F.lit("")), 256)
-    joined = docs.withColumn("blob_", blob).join(hits.withColumnRenamed("blob", "blob_"), "blob_", "left")
-    text = F.when(
-        F.col("secret_spans").isNotNull() & F.col("text").isNotNull(),
-        S.redacted(F.col("text"), F.col("secret_spans"), "[SECRET]"),
-    ).otherwise(F.col("text"))
-    changed = joined.withColumn("text", text)
+    ledger = record(docs, path)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), blob_of(F.col("text")).alias("blob"))
+    joined = _with_hits(row, ledger)
+    hit = F.col("base").isNotNull()
+    text = F.when(hit & F.col("row.text").isNotNull(), S.redacted(F.col("row.text"), F.concat("base", "more"), "[SECRET]")).otherwise(F.col("row.text"))
+    out = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
+    changed = joined.select(*(v.alias(c) for c, v in out.items()), hit.alias("hit_"))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn(
-            "n_chars", F.when(F.col("secret_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-        )
+        changed = changed.withColumn("n_chars", F.when(F.col("hit_"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = findings(docs, staged(scan(docs), "ledger"))
+    rows = findings(docs, record(docs))
     return rows.select(
         "doc_id",
         S.counted(F.col("base"), "assign").alias("n_assign"),
