@@ -1,40 +1,51 @@
 """BPE encoding and decoding over a distinct-word table.
 
 The tokenizer never looks across ASCII white space: it drops white space, no pre-token holds any, and
-its added tokens strip none. So a text's ids are its words' ids in order. Each partition splits its
-texts into words, keeps a table of the distinct ones, encodes each of them once, and joins ids back
-by position; decoding looks every id up in the id-to-piece table, which the vocabulary file bounds.
+its added tokens strip none. So a text's ids are its words' ids in order.
 
-``word_table`` builds the same table for a whole corpus, one row per distinct word, with Spark's own
-distinct and join; ``encode`` keeps its table within the partition, since moving every position (or
-the texts) through a shuffle costs more than encoding a word once per partition.
+Spark splits texts into words. Documents are read in blocks of ``BLOCK_BYTES``; a block's distinct words go
+to the buckets of a word table, each word to the one bucket of its hash, which encodes it once for the whole
+corpus and replies with its ids. A block's replies are joined with its positions (numbers of words in
+the block's dictionary), so ids come back by position; what moves is each block's distinct words and
+its compressed positions, never texts. Pieces come from a join of the ids that a block uses with the
+id-to-piece table, which has one row per vocabulary entry; decoding puts them in the places of the ids.
+
+A block is named by a digest of its dictionary, and its positions are made by a second pass over the
+texts, which must see the rows in the same order; tables read from files do, and anything else is
+written to the shared folder first. No word is a hot key: a block sends it once.
 
 Defined results: a null text is empty and has no token; repeated rows and equal or null doc_ids are
-rows of their own; an empty table gives no rows; other columns are ignored; whole texts count.
+rows of their own; an empty table gives no rows; other columns are ignored; whole texts count; ill-formed
+UTF-8 is read as Java reads it, with U+FFFD in its place.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
-import string
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streammart.llm.common import table
+from streammart.llm.common import planned_bytes, small_batches, staged, table
 from streammart.llm.tokens import lean, sliced
 
 NAME = "op8_bpe_word_table"
 SQL = None
 FILE = "word_bpe_49k.json"
-#: Words the table of a partition holds before those absent from the rows at hand leave it.
-MAX_WORDS = 200_000
-#: ASCII punctuation but the apostrophe, which begins pre-tokens with letters.
-PUNCTUATION = string.punctuation.replace("'", "")
+#: Words of about so many bytes make a block, in whole documents.
+BLOCK_BYTES = 16 << 20
+#: Buckets of the word table: one for so many bytes of input, between these bounds.
+BUCKET_BYTES, BUCKETS = 32 << 20, (8, 1 << 16)
+#: Words that go to the library at a time.
+CALL = 1024
+SPACE = " \t\n\x0b\f\r"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -48,164 +59,224 @@ def tokenizer(file: str = FILE):
     return made
 
 
-class WordTable:
-    """word -> its ids and its pieces, both as text; each distinct word encoded once.
+def pieces(spark: SparkSession, file: str = FILE) -> DataFrame:
+    """id, piece: the vocabulary, one row per entry."""
+    return spark.createDataFrame(sorted(tokenizer(file).get_vocab(with_added_tokens=True).items()), "piece string, id int").select("id", "piece")
 
-    Words are told apart further before the tokenizer runs: letters followed by punctuation are two
-    pre-tokens, and letter case is lost, so ``Word``, ``word,`` and ``word.`` share the stem ``word``.
-    """
 
-    def __init__(self, file: str = FILE, most: int = MAX_WORDS):
-        self.tokenizer, self.most = tokenizer(file), most
-        names = {i: piece for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.pieces = [names.get(i, "") for i in range(max(names) + 1)]
-        self.numbers = [str(i) for i in range(max(names) + 1)]
-        self.ends = np.array([p.endswith("</w>") for p in self.pieces])
-        self.ids: dict[bytes, str] = {}
-        self.text: dict[bytes, str] = {}
-        self.tails: dict[str, list[int]] = {"": []}
-        self.hollow = False  # whether some word has no id at all
-
-    def _whole(self, words: list[str]) -> list[list[int]]:
-        found = []
-        for at in range(0, len(words), 1024):
-            found += [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 1024], add_special_tokens=False)]
-        return found
-
-    def _stems(self, stems: list[str]) -> dict[str, list[int]]:
-        """Ids of words of letters only: many in one call, cut where a piece ends a word."""
-        found: dict[str, list[int]] = {}
-        for at in range(0, len(stems), 2048):
-            some = stems[at : at + 2048]
-            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            cuts = np.flatnonzero(self.ends[ids]) + 1 if ids else ()
-            if len(cuts) == len(some):
-                found.update(zip(some, (ids[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
-            else:  # some stem isn't a single pre-token after normalisation
-                found.update(zip(some, self._whole(some), strict=True))
-        return found
-
-    def add(self, words: set[bytes]) -> None:
-        """Encodes those of ``words`` that the table lacks; beyond its bound, others leave it."""
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > self.most:
-            self.ids = {w: self.ids[w] for w in words if w in self.ids}
-            self.text = {w: self.text[w] for w in self.ids}
-        cut, odd = [], []
-        for w in new:
-            s = w.lower().decode()  # ASCII only: the library lowers letters one by one, Python's str.lower doesn't
-            stem = s.rstrip(PUNCTUATION)
-            if stem.isalpha():
-                cut.append((w, stem, s[len(stem) :]))
-            else:
-                odd.append(w)
-        stems = self._stems(list({x[1] for x in cut}))
-        tails = list({x[2] for x in cut} - self.tails.keys())
-        self.tails.update(zip(tails, self._whole(tails), strict=True))
-        for w, stem, tail in cut:
-            self._put(w, stems[stem] + self.tails[tail])
-        for w, ids in zip(odd, self._whole([w.decode() for w in odd]), strict=True):
-            self._put(w, ids)
-
-    def _put(self, word: bytes, ids: list[int]) -> None:
-        self.hollow |= not ids
-        self.ids[word] = " ".join([self.numbers[i] for i in ids])
-        self.text[word] = " ".join([self.pieces[i] for i in ids])
-
-    def joined(self, words: list[bytes]) -> tuple[int, str, str]:
-        """Number of ids, ids and pieces of a whole text, in order of position."""
-        if self.hollow:
-            words = [w for w in words if self.ids[w]]
-        if not words:
-            return 0, "", ""
-        ids = " ".join([self.ids[w] for w in words])
-        return ids.count(" ") + 1, ids, " ".join([self.text[w] for w in words])
-
-
-def encoded(file: str = FILE, most: int = MAX_WORDS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]:
-    """Batches -> (batch, [(n, ids as text, decoded text)] by row)."""
+def split(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id, words: the text's words in order."""
+    text = F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(SPACE))
+    words = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, r"[\x20\x09-\x0D]+", -1))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
 
-    def run(batches):
-        words_of = WordTable(file, most)
-        for batch in sliced(batches):
-            split = [(x.as_py() or "").encode().split() for x in batch.column("text")]
-            words_of.add(set(itertools.chain.from_iterable(split)))
-            yield batch, [words_of.joined(words) for words in split]
 
-    return run
+def replayable(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is read from files as it is, in the same order each time; else a written copy of it."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line.lstrip(" :+-").split("(")[0].split(" ")[0] for line in plan.splitlines() if line.strip()]
+    if nodes and nodes[-1].startswith("Relation") and all(n in ("Project", "Filter") for n in nodes[:-1]):
+        return docs
+    return staged(docs.select("doc_id", "text"), "docs")
 
 
-def encode(docs: DataFrame, file: str = FILE) -> DataFrame:
-    """(doc_id, text) -> doc_id, ids array<int>, decoded string."""
-    run = encoded(file)
+class Block:
+    """Documents in order, the dictionary of their words by bucket, and every position's place in it."""
+
+    def __init__(self, ids: list, sizes: list, words: list, buckets: int):
+        self.ids, self.sizes = pa.concat_arrays(ids), np.concatenate(sizes).astype(np.int64)
+        coded = pa.concat_arrays(words).dictionary_encode()
+        found = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.bucket = np.fromiter(map(zlib.crc32, found), np.uint32, len(found)) % np.uint32(buckets)
+        order = np.argsort(self.bucket, kind="stable")
+        self.words, self.bucket = [found[i] for i in order.tolist()], self.bucket[order]
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        self.at = place[coded.indices.to_numpy()] if len(found) else np.zeros(0, np.uint32)
+        self.name = xxhash.xxh3_128_digest(b"\n".join(self.words))
+
+
+def blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[Block]:
+    ids, sizes, words, held = [], [], [], 0
+    for batch in sliced(batches, "words"):
+        column = batch.column("words")
+        flat = column.flatten()
+        ids.append(batch.column("doc_id"))
+        sizes.append(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+        words.append(flat)
+        held += flat.nbytes
+        if held >= BLOCK_BYTES:
+            yield Block(ids, sizes, words, buckets)
+            ids, sizes, words, held = [], [], [], 0
+    if ids:
+        yield Block(ids, sizes, words, buckets)
+
 
-    def rows(batches):
-        for batch, found in run(batches):
-            ids = pa.array([[int(i) for i in x[1].split()] for x in found], pa.list_(pa.int32()))
+def requests(texts: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, words: each block's distinct words by bucket."""
+
+    def run(batches):
+        zstd = zstandard.ZstdCompressor(level=3)
+        for block in blocks(batches, buckets):
+            cuts = np.searchsorted(block.bucket, np.arange(buckets + 1))
+            some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            sent = [zstd.compress(b"\n".join(block.words[cuts[b] : cuts[b + 1]])) for b in some]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), ids, pa.array([x[2] for x in found], pa.string())], ["doc_id", "ids", "decoded"]
+                [pa.array([block.name] * len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(sent, pa.binary())], ["block", "bucket", "words"]
             )
 
-    return _input(docs).mapInArrow(lean(rows), "doc_id long, ids array<int>, decoded string")
+    return texts.mapInArrow(lean(run), "block binary, bucket int, words binary")
 
 
-def _input(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+def replies(asked: DataFrame, file: str = FILE) -> DataFrame:
+    """block, bucket, ids (of the words asked for, in order), used (the distinct ids).
 
+    A bucket's table holds every word that any block has asked it for, encoded when first asked for.
+    """
 
-def digests(docs: DataFrame, file: str = FILE) -> DataFrame:
-    """(doc_id, text) -> counts and digests of ids and decoded text."""
-    run = encoded(file)
+    def run(batches):
+        made, zip_, unzip = tokenizer(file), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        known: dict[bytes, np.ndarray] = {}
+        at = None
+        for batch in batches:
+            for block, bucket, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words")), strict=True):
+                if bucket != at:
+                    known, at = {}, bucket
+                words = unzip.decompress(raw).split(b"\n")
+                new = [w for w in words if w not in known]
+                for i in range(0, len(new), CALL):
+                    some = new[i : i + CALL]
+                    for w, e in zip(some, made.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                        known[w] = np.array(e.ids, np.int32)
+                found = [known[w] for w in words]
+                sizes, ids = np.fromiter(map(len, found), np.int32, len(found)), np.concatenate(found)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block], pa.binary()),
+                        pa.array([bucket], pa.int32()),
+                        pa.array([zip_.compress(_planes(sizes))], pa.binary()),
+                        pa.array([zip_.compress(_planes(ids))], pa.binary()),
+                        pa.array([np.unique(ids)], pa.list_(pa.int32())),
+                    ],
+                    ["block", "bucket", "sizes", "ids", "used"],
+                )
+
+    rows = asked.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(lean(run), "block binary, bucket int, sizes binary, ids binary, used array<int>")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit integers with their bytes apart, which compresses."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _values(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def positions(texts: DataFrame, buckets: int) -> DataFrame:
+    """block, doc_ids, sizes, at: each block's documents and the places of their words in its dictionary."""
 
-    def rows(batches):
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch, found in run(batches):
+    def run(batches):
+        zstd = zstandard.ZstdCompressor(level=3)
+        for block in blocks(batches, buckets):
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([sha(x[1]) for x in found], pa.string()),
-                    pa.array([sha(x[2]) for x in found], pa.string()),
+                    pa.array([block.name], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(block.ids)], pa.int32()), block.ids),
+                    pa.array([zstd.compress(block.sizes.tobytes())], pa.binary()),
+                    pa.array([zstd.compress(_planes(block.at))], pa.binary()),
                 ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                ["block", "doc_ids", "sizes", "at"],
             )
 
-    return _input(docs).mapInArrow(lean(rows), DIGESTS)
+    return texts.mapInArrow(lean(run), "block binary, doc_ids array<bigint>, sizes binary, at binary")
 
 
-def word_table(docs: DataFrame, file: str = FILE) -> DataFrame:
-    """The corpus-wide table: word, n (occurrences), ids, pieces; every distinct word encoded once.
+def _joined(strings: list[bytes], at: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Of each document (positions up to its end), its words' strings with a space between."""
+    taken = pa.array(strings, pa.large_binary()).take(pa.array(at))
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int64)), taken), pa.scalar(b" ", pa.large_binary())).to_pylist()
 
-    Words are counted within each partition before the shuffle; pieces come from a join with the
-    id-to-piece table, which has one row per vocabulary entry.
-    """
+
+def assembled(docs: DataFrame, file: str, result: Callable[[pa.Array, np.ndarray, list[bytes], list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
+    """Every document's ids and decoded text, given to ``result`` as (doc_ids, counts, ids as text, decoded)."""
     spark = docs.sparkSession
+    small_batches(spark)
+    texts = split(replayable(docs))
+    buckets = min(BUCKETS[1], max(BUCKETS[0], planned_bytes(docs) // BUCKET_BYTES))
+    found = staged(replies(requests(texts, buckets), file), "replies")
+    used = found.select("block", F.explode("used").alias("id")).distinct().join(F.broadcast(pieces(spark, file)), "id")
+    null = lambda kind: F.lit(None).cast(kind)
+    names = used.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+    rows = (
+        names.select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), null("binary").alias("sizes"), null("binary").alias("payload"), null("array<bigint>").alias("doc_ids"), "pieces")
+        .unionByName(found.select("block", F.lit(1).alias("kind"), "bucket", "sizes", F.col("ids").alias("payload")), allowMissingColumns=True)
+        .unionByName(positions(texts, buckets).select("block", F.lit(2).alias("kind"), F.lit(0).alias("bucket"), "sizes", F.col("at").alias("payload"), "doc_ids"), allowMissingColumns=True)
+    )
 
-    def counted(batches):
-        from collections import Counter
+    def run(batches):
+        unzip = zstandard.ZstdDecompressor()
+        name, piece, got, ready = None, {}, {}, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, kind = batch.column("block")[i].as_py(), batch.column("kind")[i].as_py()
+                if block != name:
+                    name, piece, got, ready = block, {}, {}, None
+                if kind == 0:
+                    entry = batch.column("pieces")[i].values
+                    piece = dict(zip(entry.field("id").to_pylist(), entry.field("piece").cast(pa.binary()).to_pylist(), strict=True))
+                    continue
+                sizes, payload = (unzip.decompress(batch.column(c)[i].as_py()) for c in ("sizes", "payload"))
+                if kind == 1:  # blocks of equal dictionaries have equal replies: one counts
+                    got[batch.column("bucket")[i].as_py()] = (_values(sizes), _values(payload))
+                    continue
+                at, each = _values(payload).astype(np.int64), np.frombuffer(sizes, np.int64)
+                if ready is None:
+                    ready = table_of(got, piece)
+                counts, ids, text = ready
+                if len(at) and int(at.max()) >= len(counts):
+                    raise RuntimeError("a block of documents has no reply: its rows came in another order when read again")
+                ends = np.cumsum(each)
+                upto = np.concatenate([[0], np.cumsum(counts[at])]) if len(at) else np.zeros(1, np.int64)
+                n = upto[ends] - upto[ends - each]
+                full = counts[at] > 0
+                if not full.all():  # words without an id leave no trace
+                    ends = np.concatenate([[0], np.cumsum(full)])[ends]
+                    at = at[full]
+                yield result(batch.column("doc_ids")[i].values, n, _joined(ids, at, ends), _joined(text, at, ends))
+
+    def table_of(got, piece):
+        """Of a block's dictionary in order: number of ids, ids as text, pieces as text."""
+        if not got:
+            return np.zeros(0, np.int64), [], []
+        sizes, flat = (np.concatenate([got[b][k] for b in sorted(got)]).astype(np.int64) for k in (0, 1))
+        flat, ends = flat.tolist(), np.cumsum(sizes).tolist()
+        number = {i: str(i).encode() for i in set(flat)}
+        cuts = list(zip([0, *ends[:-1]], ends, strict=True))
+        return sizes, [b" ".join([number[x] for x in flat[a:b]]) for a, b in cuts], [b" ".join([piece[x] for x in flat[a:b]]) for a, b in cuts]
+
+    return rows.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(lean(run), schema)
 
-        for batch in sliced(batches):
-            n = Counter(itertools.chain.from_iterable((x.as_py() or "").split() for x in batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
-    def ids(batches):
-        made = tokenizer(file)
-        for batch in batches:
-            found = made.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("n"), pa.array([x.ids for x in found], pa.list_(pa.int32()))], ["word", "n", "ids"]
-            )
+def encode(docs: DataFrame, file: str = FILE) -> DataFrame:
+    """(doc_id, text) -> doc_id, ids array<int>, decoded string."""
 
-    words = _input(docs).select("text").mapInArrow(lean(counted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    coded = words.mapInArrow(lean(ids), "word string, n long, ids array<int>")
-    pieces = F.broadcast(spark.createDataFrame(sorted(tokenizer(file).get_vocab().items()), "piece string, id int"))
-    decoded = (
-        coded.select("word", F.posexplode("ids").alias("at", "id"))
-        .join(pieces, "id")
-        .groupBy("word")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x.piece).alias("pieces"))
-    )
-    return coded.join(decoded, "word", "left")
+    def result(doc_ids, n, ids, decoded):
+        flat = pa.array([[int(x) for x in one.split()] for one in ids], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([doc_ids, flat, pa.array(decoded, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
+
+    return assembled(docs, file, result, "doc_id long, ids array<int>, decoded string")
+
+
+def digests(docs: DataFrame, file: str = FILE) -> DataFrame:
+    """(doc_id, text) -> counts and digests of ids and decoded text."""
+
+    def result(doc_ids, n, ids, decoded):
+        sha = [pa.array([hashlib.sha256(x).hexdigest() for x in some], pa.string()) for some in (ids, decoded)]
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(n.astype(np.int64)), *sha], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return assembled(docs, file, result, DIGESTS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

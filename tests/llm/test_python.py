@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from streammart.llm import bpe, compression, jaccard, langid, suffix, topk
+from streammart.llm import bpe, compression, jaccard, langid, suffix, tokens, topk
 from streammart.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -378,23 +378,35 @@ def test_tokens_equal_the_library(spark):
     assert bpe.digests(docs(spark, [])).count() == 0
 
 
-def test_bounded_table_and_corpus_table(spark):
-    texts = ["alpha beta, gamma", "beta beta delta.", "gamma Beta"] * 5
-    table = bpe.WordTable(most=3)
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 800)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"word{rng.randrange(40)}," if rng.random() < 0.3 else f"Thing{rng.randrange(300)}" for _ in range(30))) for i in range(60)]
+    rows += [(100, None), (101, "x"), (102, rows[3][1]), (102, rows[3][1])]
+    df = docs(spark, rows)
     whole = bpe.tokenizer()
-    for t in texts:
-        words = t.encode().split()
-        table.add(set(words))
-        assert table.joined(words)[1] == " ".join(map(str, whole.encode(t, add_special_tokens=False).ids))
-        assert len(table.ids) <= 3 + len(set(words))
-    rows = bpe.word_table(docs(spark, list(enumerate(texts)))).collect()
-    seen = Counter(w for t in texts for w in t.split())
-    assert {r["word"]: r["n"] for r in rows} == dict(seen)
-    for r in rows:
-        assert r["ids"] == whole.encode(r["word"], add_special_tokens=False).ids
-        assert " ".join(r["pieces"]) == whole.decode(r["ids"], skip_special_tokens=False)
-    ids = bpe.encode(docs(spark, list(enumerate(texts)))).collect()
-    assert all(r["ids"] == whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids for r in ids)
+    for r in bpe.encode(df).collect():
+        text = next(t for i, t in rows if i == r["doc_id"]) or ""
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert r["ids"] == ids and r["decoded"] == whole.decode(ids, skip_special_tokens=False)
+    asked = bpe.requests(bpe.split(df), 8).collect()
+    assert len({r["block"] for r in asked}) > 8
+    by_word = {}
+    for r in asked:
+        for w in zstandard.ZstdDecompressor().decompress(bytes(r["words"])).split(b"\n"):
+            by_word.setdefault(w, set()).add(r["bucket"])
+    assert set(by_word) == {w.encode() for _, t in rows if t for w in t.split()}
+    assert all(len(x) == 1 for x in by_word.values())  # so one bucket encodes it
+
+
+def test_words_without_ids_and_tables_without_words(spark):
+    rows = [(1, "\x1c"), (2, " a \x1c b "), (3, ""), (4, None), (5, "<|endoftext|>x <|startoftext|>")]
+    whole = bpe.tokenizer()
+    for r in bpe.encode(docs(spark, rows)).collect():
+        ids = whole.encode(dict(rows)[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["decoded"] == whole.decode(ids, skip_special_tokens=False)
+    assert [r["n_tokens"] for r in bpe.digests(docs(spark, [(1, ""), (2, None)])).collect()] == [0, 0]
 
 
 def test_sets_by_size():
