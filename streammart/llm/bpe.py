@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streammart.llm.common import planned_bytes, small_batches, staged, table
+from streammart.llm.common import planned_bytes, replayable, small_batches, staged, table
 from streammart.llm.tokens import lean, sliced
 
 NAME = "op8_bpe_word_table"
@@ -71,15 +71,6 @@ def split(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
 
 
-def replayable(docs: DataFrame) -> DataFrame:
-    """``docs`` if it is read from files as it is, in the same order each time; else a written copy of it."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    nodes = [line.lstrip(" :+-").split("(")[0].split(" ")[0] for line in plan.splitlines() if line.strip()]
-    if nodes and nodes[-1].startswith("Relation") and all(n in ("Project", "Filter") for n in nodes[:-1]):
-        return docs
-    return staged(docs.select("doc_id", "text"), "docs")
-
-
 class Block:
     """Documents in order, the dictionary of their words by bucket, and every position's place in it."""
 

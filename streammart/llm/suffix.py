@@ -1,25 +1,29 @@
 """Duplicate passages by prefix-free parsing.
 
 Parsing: a rolling hash runs over every ``GRAM`` bytes; a position is a trigger where its hash is the
-least of some window of ``LENGTH`` bytes. A phrase is a maximal run of windows with one trigger, with
-the bytes under them, so neighbouring phrases overlap by LENGTH - 1 bytes and every LENGTH-byte string
-of the corpus lies in exactly one phrase, under a trigger that its own bytes fix. The dictionary holds
+least of some window of ``LENGTH`` bytes. A phrase is a run of windows with one trigger (of ``MOST`` windows
+at most), with the bytes under them, so neighbouring phrases overlap by LENGTH - 1 bytes and every LENGTH-byte
+string of the corpus lies in exactly one phrase, under a trigger that its own bytes fix. The dictionary holds
 each distinct phrase once, with the least document that holds it; the parse says where phrases stand.
 
-Corpus order: suffixes of dictionary phrases are sorted within their trigger, by a fingerprint of their
-first LENGTH bytes, which is as deep as this operator looks; equal neighbours give the least document
-of each string. With the parse that marks, in every document, the bytes of strings that start in a
-document with a smaller doc_id. Repetition is paid for once: a phrase that thousands of documents hold
-is sorted once.
+Corpus order: within a trigger's bucket, the suffixes of distinct phrases that aren't alone with their first
+LENGTH bytes are sorted by these bytes; equal neighbours give the least document of each string. A match
+of LENGTH bytes never reaches past its phrase, so the order of what follows a phrase (the parse's own suffix
+array) decides nothing here and isn't made. The dictionary is solved once for each distinct phrase, and what
+it says goes back to the blocks of documents that sent the phrase: a document loses a phrase whole if all
+its strings have a smaller document; the least document of a phrase loses the runs that another phrase's
+smaller document has. So a passage that all documents hold costs a block one phrase, however many documents.
 
 Scale: a first pass over the texts sends only (trigger, document) pairs, 6 to 8 bytes each, to find
 triggers of two documents or more; their bitmap, of a size between fixed bounds (``BITS``), is broadcast,
-and a second pass parses only phrases under them. A full bitmap costs traffic, never results. Texts
-aren't shuffled.
+a second pass sends the distinct phrases under them, and a third the parse, block by block, to meet the
+replies. A full bitmap costs traffic, never results. Texts aren't shuffled; long ones are parsed in pieces.
+Passes must see rows in one order: files do, anything else is written to the shared folder first.
 
 Defined results: null text is empty; texts shorter than LENGTH keep everything; a null doc_id takes no
 part and loses nothing; rows with equal doc_id don't deduplicate one another, nor a row itself; an
-empty table gives no rows; other columns are ignored; whole texts count, as UTF-8 bytes.
+empty table gives no rows; other columns are ignored; whole texts count, as the bytes they have, well-formed
+UTF-8 or not.
 """
 
 from __future__ import annotations
@@ -34,12 +38,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streammart.llm.common import staged, table
-from streammart.llm.tokens import lean
+from streammart.llm.common import planned_bytes, replayable, staged, table
+from streammart.llm.tokens import lean, texts
 
 NAME = "op6_prefix_free_dedup"
 LENGTH, GRAM = 50, 16
 SLICE, FLUSH = 1 << 19, 1 << 19
+#: Windows of a phrase at most.
+MOST = 4096
+#: Leading bits of a trigger that name its bucket: eight buckets for each shuffle partition, between these.
+BUCKETS = (8, 22)
+_LAST = np.iinfo(np.int64).max
 #: Least and greatest size of the broadcast bitmap: 2^22 bits are 0.5 MB, 2^30 bits 128 MB.
 BITS = (22, 30)
 #: Interval tables up to this size are broadcast to the last pass; larger ones are joined by shuffle.
@@ -66,14 +75,14 @@ def fingerprints(buffer: bytes, n: int, length: int = LENGTH) -> np.ndarray:
     return mix(x)
 
 
-def parse(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """Phrases of the texts: buffer, document index, first window, window after the last, trigger.
+def parse(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM):
+    """Phrases of the texts (or pieces of them): buffer, document index, first window, window after the last, trigger.
 
     Places are offsets in ``buffer``, the texts one after another; also each text's offset.
     """
-    sizes = np.array([len(t) for t in texts], np.int64)
+    sizes = np.array([len(t) for t in pieces], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    buffer = b"".join([*texts, b"\0" * (length + 16)])
+    buffer = b"".join([*pieces, b"\0" * (length + 16)])
     n = int(offsets[-1])
     if n < length:
         none = np.zeros(0, np.int64)
@@ -95,39 +104,52 @@ def parse(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     inside = at - offsets[doc] < windows[doc]
     at, doc = at[inside], doc[inside]
     end = np.minimum(np.append(at[1:], n), offsets[doc] + windows[doc])
-    return buffer, offsets, doc, at, end, mix(m[at] ^ _C[2])
+    trigger = mix(m[at] ^ _C[2])
+    parts = -(-(end - at) // MOST)
+    if (parts > 1).any():  # long runs of one trigger, as in padding, are many equal phrases
+        row = np.repeat(np.arange(len(at)), parts)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = at[row] + step * MOST
+        at, end, doc, trigger = begin, np.minimum(begin + MOST, end[row]), doc[row], trigger[row]
+    return buffer, offsets, doc, at, end, trigger
 
 
-def _batches(batches, size: int = SLICE):
-    """Rows with a doc_id whose text can hold a window, in slices: doc_ids, text hashes, texts.
+def key_of(digest: bytes) -> int:
+    """What tells rows of one doc_id apart: 64 bits of the text's digest."""
+    return int.from_bytes(digest[:8], "little", signed=True)
 
-    Within a task a text that a smaller doc_id has shown before comes as (doc_id, hash, length) copies.
+
+def _batches(batches, size: int | None = None):
+    """Rows with a doc_id whose text can hold a window, in slices: doc_ids, text keys, offsets, texts, copies.
+
+    Texts come in pieces of SLICE windows. Within a task a text that a smaller doc_id has shown before
+    comes as a copy (doc_id, key, length).
     """
-    seen: dict[int, int] = {}
-    ids, hashes, texts, copies, held = [], [], [], [], 0
+    size = size or SLICE
+    seen: dict[bytes, int] = {}
+    ids, keys, at, pieces, copies, held = [], [], [], [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            if i is None:
-                continue
-            raw = (t.as_py() or "").encode()
-            if len(raw) < LENGTH:
+        for i, raw in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            if i is None or len(raw) < LENGTH:
                 continue
-            h = xxhash.xxh64_intdigest(raw) - (1 << 63)
-            if seen.get(h, i) < i:
-                copies.append((i, h, len(raw)))
+            digest = xxhash.xxh3_128_digest(raw)
+            if seen.get(digest, i) < i:
+                copies.append((i, key_of(digest), len(raw)))
                 continue
             if len(seen) > 200_000:
                 seen.clear()
-            seen[h] = i
-            ids.append(i)
-            hashes.append(h)
-            texts.append(raw)
-            held += len(raw)
-            if held >= size:
-                yield np.array(ids, np.int64), np.array(hashes, np.int64), texts, copies
-                ids, hashes, texts, copies, held = [], [], [], [], 0
-    if texts or copies:
-        yield np.array(ids, np.int64), np.array(hashes, np.int64), texts, copies
+            seen[digest] = i
+            for begin in range(0, len(raw) - LENGTH + 1, size):
+                ids.append(i)
+                keys.append(key_of(digest))
+                at.append(begin)
+                pieces.append(raw[begin : begin + size + LENGTH - 1])
+                held += len(pieces[-1])
+                if held >= size:
+                    yield np.array(ids, np.int64), np.array(keys, np.int64), np.array(at, np.int64), pieces, copies
+                    ids, keys, at, pieces, copies, held = [], [], [], [], [], 0
+    if pieces or copies:
+        yield np.array(ids, np.int64), np.array(keys, np.int64), np.array(at, np.int64), pieces, copies
 
 
 def _bucket(values: np.ndarray, bits: int) -> np.ndarray:
@@ -156,8 +178,7 @@ def _by_bucket(batches):
 
 def bitmap_bits(docs: DataFrame) -> int:
     """Leading bits of a trigger that address the bitmap: several for each trigger, by the planner's size."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(BITS[1], max(BITS[0], (size // 2).bit_length()))
+    return min(BITS[1], max(BITS[0], (planned_bytes(docs) // 2).bit_length()))
 
 
 def repeated_triggers(docs: DataFrame, bits: int, total: int) -> np.ndarray:
@@ -183,8 +204,8 @@ def repeated_triggers(docs: DataFrame, bits: int, total: int) -> np.ndarray:
                 [pa.array(bucket[cuts[:-1]]), *(pa.array([p[k] for p in packed], pa.binary()) for k in range(3))], ["bucket", "low", "ids", "doc"]
             )
 
-        for ids, _, texts, _ in _batches(batches):
-            _, _, doc, _, _, trigger = parse(texts)
+        for ids, _, _, pieces, _ in _batches(batches):
+            _, _, doc, _, _, trigger = parse(pieces)
             if len(doc):
                 held.append((trigger, ids[doc]))
                 rows += len(doc)
@@ -226,128 +247,188 @@ def repeated_triggers(docs: DataFrame, bits: int, total: int) -> np.ndarray:
     return out.ravel()
 
 
-def phrases(docs: DataFrame, bitmap, bits: int, total: int) -> DataFrame:
-    """Dictionary and parse of the phrases under repeated triggers, by trigger bucket.
+class Block:
+    """Phrases of some documents in order: the parse (one entry each) and the distinct phrases by bucket."""
+
+    def __init__(self, held: list[dict], bits: int):
+        x = {c: np.concatenate([h[c] for h in held]) for c in ("trigger", "id", "key", "start", "count")}
+        number: dict[bytes, int] = {}
+        no = np.fromiter((number.setdefault(c, len(number)) for h in held for c in h["content"]), np.int64, len(x["id"]))
+        first = np.unique(no, return_index=True)[1]
+        least, most = np.full(len(number), _LAST), np.full(len(number), -_LAST - 1)
+        np.minimum.at(least, no, x["id"])
+        np.maximum.at(most, no, x["id"])
+        bucket = _bucket(x["trigger"][first], bits)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        content = list(number)
+        self.content, self.least, self.most, self.bucket = [content[i] for i in order.tolist()], least[order], most[order], bucket[order]
+        self.parse = np.stack([x["id"], x["key"], x["start"], x["count"], place[no]])
+        self.name = xxhash.xxh3_128_digest(x["trigger"].tobytes() + self.parse.tobytes())
+        self.cuts = _cuts(self.bucket).tolist()
+
+
+def _blocks(batches, bitmap, bits: int, total: int):
+    """Blocks of the phrases under repeated triggers, and copies found within the task, by turns (one is None)."""
+    held, rows = [], 0
+    for ids, keys, base, pieces, copies in _batches(batches):
+        if copies:
+            yield None, copies
+        buffer, offsets, doc, at, end, trigger = parse(pieces)
+        place = (trigger >> np.uint64(64 - total)).astype(np.int64)
+        ok = np.flatnonzero((bitmap.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+        if not len(ok):
+            continue
+        doc, at, end, trigger = doc[ok], at[ok], end[ok], trigger[ok]
+        content = [buffer[i:j] for i, j in zip(at.tolist(), (end + LENGTH - 1).tolist(), strict=True)]
+        start = at - offsets[doc] + base[doc]
+        held.append({"trigger": trigger, "id": ids[doc], "key": keys[doc], "start": start, "count": end - at, "content": content})
+        rows += len(ok)
+        if rows >= FLUSH // 4:  # phrases carry their bytes
+            yield Block(held, bits), None
+            held, rows = [], 0
+    if held:
+        yield Block(held, bits), None
+
+
+def dictionary(docs: DataFrame, bitmap, bits: int, total: int) -> DataFrame:
+    """bucket, block, first (number of a block's first phrase in the bucket), least, most (documents), sizes, content."""
+
+    def run(batches):
+        zstd = zstandard.ZstdCompressor(level=1)
+        for block, _ in _blocks(batches, bitmap, bits, total):
+            if block is None:
+                continue
+            parts = list(zip(block.cuts, block.cuts[1:], strict=False))
+            sizes = np.fromiter(map(len, block.content), np.int64, len(block.content))
+            columns = [[zstd.compress(v[i:j].tobytes()) for i, j in parts] for v in (block.least, block.most, sizes)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(block.bucket[block.cuts[:-1]]),
+                    pa.array([block.name] * len(parts), pa.binary()),
+                    pa.array([i for i, _ in parts], pa.int64()),
+                    *(pa.array(c, pa.binary()) for c in columns),
+                    pa.array([zstd.compress(b"".join(block.content[i:j])) for i, j in parts], pa.binary()),
+                ],
+                ["bucket", "block", "first", "least", "most", "sizes", "content"],
+            )
 
-    Negative buckets carry copies found within a task: whole texts to be removed.
-    """
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "bucket long, block binary, first long, least binary, most binary, sizes binary, content binary")
+
+
+def _least_documents(contents: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of distinct phrases, one after another: the least document of each; windows of each phrase."""
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+    windows, begins = sizes - LENGTH + 1, np.cumsum(sizes) - sizes
+    buffer = b"".join([*contents, b"\0" * 64])
+    phrase = np.repeat(np.arange(len(contents)), windows)
+    place = np.arange(len(phrase)) - np.repeat(np.cumsum(windows) - windows, windows) + begins[phrase]
+    smallest = least[phrase]
+    # A suffix whose fingerprint is alone is alone with its bytes; the others are put in byte order.
+    prints = fingerprints(buffer, int(sizes.sum()))[place]
+    order = np.argsort(prints, kind="stable")
+    same = prints[order][1:] == prints[order][:-1]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    if len(order):
+        at = place[order]
+        words = [np.ndarray((int(sizes.sum()),), ">u8", buffer, offset, (1,))[at].astype(np.uint64) for offset in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+        by_bytes = np.lexsort(words[::-1])
+        differ = np.zeros(len(order) - 1, bool)
+        for w in words:
+            differ |= w[by_bytes][1:] != w[by_bytes][:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(differ) + 1, [len(order)]])
+        order = order[by_bytes]
+        held = np.minimum.reduceat(smallest[order], cuts[:-1])
+        smallest[order] = np.repeat(held, np.diff(cuts))
+    return smallest, windows
+
+
+def _solved(rows: list[dict], zip_, unzip):
+    """Of one bucket: for each block's row, what its documents lose: (block, numbers and bounds, runs)."""
+    number: dict[bytes, int] = {}
+    parts = []
+    for row in rows:
+        least, most, sizes = (np.frombuffer(unzip.decompress(row[c]), np.int64) for c in ("least", "most", "sizes"))
+        content, ends = unzip.decompress(row["content"]), np.cumsum(sizes).tolist()
+        own = [number.setdefault(content[i:j], len(number)) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        parts.append((row, least, most, np.array(own, np.int64)))
+    least = np.full(len(number), _LAST)
+    for _, mine, _, own in parts:
+        np.minimum.at(least, own, mine)
+    smallest, windows = _least_documents(list(number), least)
+    begins = np.cumsum(windows) - windows
+    bound = np.maximum.reduceat(smallest, begins)  # documents above it lose the phrase whole
+    hit = smallest < np.repeat(least, windows)
+    new = hit & ~np.concatenate([[False], hit[:-1]])
+    new[begins] |= hit[begins]
+    last = hit & ~np.concatenate([hit[1:], [False]])
+    last[begins + windows - 1] |= hit[begins + windows - 1]
+    a, b = np.flatnonzero(new), np.flatnonzero(last) + 1
+    owner = np.searchsorted(begins, a, "right") - 1
+    a, b = a - begins[owner], b - begins[owner]
+    for row, mine, most, own in parts:
+        whole = np.flatnonzero(bound[own] < most)
+        first = np.flatnonzero(mine == least[own])  # phrases whose least document is here
+        lo, hi = np.searchsorted(owner, own[first]), np.searchsorted(owner, own[first], "right")
+        n = hi - lo
+        pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        runs = np.stack([np.repeat(first, n) + row["first"], a[pick], b[pick]])
+        yield row["block"], zip_.compress(np.stack([whole + row["first"], bound[own[whole]]]).tobytes()), zip_.compress(runs.tobytes())
+
+
+def solutions(found: DataFrame) -> DataFrame:
+    """block, bounds (phrase number, document above which it goes whole), runs (phrase number, from, to)."""
+
+    def run(batches):
+        zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for _, rows in _by_bucket(batches):
+            block, bounds, runs = zip(*_solved(rows, zip_, unzip), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (block, bounds, runs)], ["block", "bounds", "runs"])
 
-    def send(batches):
-        held, rows = [], 0
-        zstd = zstandard.ZstdCompressor(level=1)
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "block binary, bounds binary, runs binary")
 
-        def flush():
-            trigger = np.concatenate([x["trigger"] for x in held])
-            order = np.argsort(trigger, kind="stable")
-            bucket = _bucket(trigger[order], bits)
-            columns = {c: np.concatenate([x[c] for x in held])[order] for c in ("trigger", "phrase", "id", "hash", "start", "count")}
-            content = [t for x in held for t in x["content"]]
-            cuts = _cuts(bucket)
-            out = {c: [] for c in (*columns, "content")}
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                for c, v in columns.items():
-                    out[c].append(zstd.compress(v[i:j].tobytes()) if c in ("id", "hash") else v[i:j].tobytes())
-                seen, mine = set(), []
-                for k in range(i, j):  # each distinct phrase's bytes once, in order of first place
-                    p = columns["phrase"][k]
-                    if p not in seen:
-                        seen.add(p)
-                        mine.append(content[order[k]])
-                out["content"].append(zstd.compress(b"".join(mine)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cuts[:-1]]), *(pa.array(v, pa.binary()) for v in out.values())], ["bucket", *out]
-            )
 
-        for ids, hashes, texts, copies in _batches(batches):
-            if copies:
-                i, h, size = (np.array(x, np.int64) for x in zip(*copies, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([-1 - TaskContext.get().partitionId()], pa.int64()),
-                        *(pa.array([x], pa.binary()) for x in (b"", b"", i.tobytes(), h.tobytes(), b"", size.tobytes(), b"")),
-                    ],
-                    ["bucket", "trigger", "phrase", "id", "hash", "start", "count", "content"],
-                )
-            buffer, offsets, doc, at, end, trigger = parse(texts)
-            place = (trigger >> np.uint64(64 - total)).astype(np.int64)
-            ok = np.flatnonzero((bitmap.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
-            if not len(ok):
-                continue
-            doc, at, end, trigger = doc[ok], at[ok], end[ok], trigger[ok]
-            content = [buffer[i:j] for i, j in zip(at.tolist(), (end + LENGTH - 1).tolist(), strict=True)]
-            held.append(
-                {
-                    "trigger": trigger,
-                    "phrase": np.array([xxhash.xxh64_intdigest(c) for c in content], np.uint64),
-                    "id": ids[doc],
-                    "hash": hashes[doc],
-                    "start": (at - offsets[doc]).astype(np.int32),
-                    "count": (end - at).astype(np.int32),
-                    "content": content,
-                }
+def parses(docs: DataFrame, bitmap, bits: int, total: int) -> DataFrame:
+    """block, parse, rows (of the block in the dictionary); copies come under a null block."""
+
+    def run(batches):
+        zstd = zstandard.ZstdCompressor(level=1)
+        for block, copies in _blocks(batches, bitmap, bits, total):
+            if block is not None:
+                name, parse_, rows = block.name, block.parse, len(block.cuts) - 1
+            else:
+                name, parse_, rows = b"", np.array(copies, np.int64).T, TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name], pa.binary()), pa.array([zstd.compress(np.ascontiguousarray(parse_).tobytes())], pa.binary()), pa.array([rows], pa.int32())],
+                ["block", "parse", "rows"],
             )
-            rows += len(ok)
-            if rows >= FLUSH // 4:  # phrases carry their bytes
-                yield flush()
-                held, rows = [], 0
-        if held:
-            yield flush()
 
-    schema = ", ".join(f"{c} binary" for c in ("trigger", "phrase", "id", "hash", "start", "count", "content"))
-    return docs.select("doc_id", "text").mapInArrow(lean(send), f"bucket long, {schema}")
-
-
-def _removed(parts: list[dict]) -> tuple[np.ndarray, ...]:
-    """Of one bucket: (id, hash, from, to) of the byte runs to remove."""
-    x = {c: np.concatenate([p[c] for p in parts]) for c in ("phrase", "id", "hash", "start", "count")}
-    # The dictionary: each distinct phrase, its bytes and its least document.
-    names, first, own = np.unique(x["phrase"], return_index=True, return_inverse=True)
-    least = np.full(len(names), np.iinfo(np.int64).max)
-    np.minimum.at(least, own, x["id"])
-    text: dict[int, bytes] = {}
-    for p in parts:
-        order = dict.fromkeys(p["phrase"].tolist())
-        size = dict(zip(p["phrase"].tolist(), p["count"].tolist(), strict=True))
-        at = 0
-        for name in order:
-            text[name] = p["content"][at : at + size[name] + LENGTH - 1]
-            at += size[name] + LENGTH - 1
-    contents = [text[name] for name in names.tolist()]
-    sizes = np.array([len(c) for c in contents], np.int64)
-    windows = x["count"][first].astype(np.int64)
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    prints = fingerprints(b"".join([*contents, b"\0" * 64]), int(begins[-1]))
-    # Suffixes of LENGTH bytes or more, in order; equal ones share their least document.
-    total = np.concatenate([[0], np.cumsum(windows)])
-    phrase = np.repeat(np.arange(len(names)), windows)
-    place = np.arange(total[-1]) - total[phrase] + begins[phrase]
-    order = np.argsort(prints[place], kind="stable")
-    cuts = _cuts(prints[place][order])
-    held = np.minimum.reduceat(least[phrase][order], cuts[:-1])
-    smallest = np.empty(len(order), np.int64)
-    smallest[order] = np.repeat(held, np.diff(cuts))
-    # Back through the parse: windows of each place whose string a smaller document holds.
-    count = windows[own]
-    upto = np.concatenate([[0], np.cumsum(count)])
-    row = np.repeat(np.arange(len(own)), count)
-    step = np.arange(upto[-1]) - upto[row]
-    hit = smallest[total[own[row]] + step] < x["id"][row]
-    row, step = row[hit], step[hit]
-    if not len(row):
-        return ()
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)])
-    begin = np.flatnonzero(new)
-    finish = np.append(begin[1:], len(row)) - 1
-    r = row[begin]
-    start = x["start"][r].astype(np.int64)
-    return x["id"][r], x["hash"][r], start + step[begin], start + step[finish] + LENGTH
-
-
-def removals(found: DataFrame, shares: int) -> DataFrame:
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "block binary, parse binary, rows int")
+
+
+def _lost(parse_: np.ndarray, bounds: list[np.ndarray], runs: list[np.ndarray]) -> list[np.ndarray]:
+    """Of one block: id, key, from, to of the byte runs that its documents lose."""
+    i, key, start, count, no = parse_
+    bound = np.full(int(no.max()) + 1, _LAST)
+    numbers, values = np.concatenate(bounds, axis=1)
+    bound[numbers] = values
+    whole = i > bound[no]
+    out = [[x[whole] for x in (i, key, start, start + count + LENGTH - 1)]]
+    runs = np.concatenate(runs, axis=1)
+    runs = runs[:, np.argsort(runs[0], kind="stable")]
+    rest = np.flatnonzero(~whole)
+    lo, hi = np.searchsorted(runs[0], no[rest]), np.searchsorted(runs[0], no[rest], "right")
+    n = hi - lo
+    pick, row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), np.repeat(rest, n)
+    out.append([i[row], key[row], start[row] + runs[1][pick], start[row] + runs[2][pick] + LENGTH - 1])
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def removals(solved: DataFrame, parsed: DataFrame, shares: int) -> DataFrame:
     """doc_id, hash, spans: each document's byte runs to remove, merged, as packed integers."""
-    kinds = {"phrase": np.uint64, "id": np.int64, "hash": np.int64, "start": np.int32, "count": np.int32}
 
-    def solve(batches):
+    def lose(batches):
         zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
         def send(got):
@@ -358,26 +439,25 @@ def removals(found: DataFrame, shares: int) -> DataFrame:
             rows = [zip_.compress(np.stack([g[i:j] for g in got]).tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(share[cuts[:-1]]), pa.array(rows, pa.binary())], ["share", "runs"])
 
-        held, rows = [], 0
-        for b, some in _by_bucket(batches):
-            if b < 0:
-                for row in some:
-                    i, h, size = (np.frombuffer(row[c], np.int64) for c in ("id", "hash", "count"))
-                    yield send([i, h, np.zeros(len(i), np.int64), size])
-                continue
-            parts = []
-            for row in some:
-                part = {c: np.frombuffer(unzip.decompress(row[c]) if c in ("id", "hash") else row[c], kind) for c, kind in kinds.items()}
-                parts.append(part | {"content": unzip.decompress(row["content"])})
-            got = _removed(parts)
-            if got:
-                held.append(got)
-                rows += len(got[0])
-            if rows > FLUSH:
-                yield send([np.concatenate(c) for c in zip(*held, strict=True)])
-                held, rows = [], 0
-        if held:
-            yield send([np.concatenate(c) for c in zip(*held, strict=True)])
+        name, bounds, runs = None, [], []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, raw = batch.column("block")[k].as_py(), batch.column("parse")[k].as_py()
+                if block != name:
+                    name, bounds, runs = block, [], []
+                if raw is None:
+                    for c, held, width in (("bounds", bounds, 2), ("runs", runs, 3)):
+                        held.append(np.frombuffer(unzip.decompress(batch.column(c)[k].as_py()), np.int64).reshape(width, -1))
+                    continue
+                if not block:  # copies of whole texts
+                    i, key, size = np.frombuffer(unzip.decompress(raw), np.int64).reshape(3, -1)
+                    yield send([i, key, np.zeros(len(i), np.int64), size])
+                    continue
+                if len(bounds) % batch.column("rows")[k].as_py() or not bounds:
+                    raise RuntimeError("a block of documents has no reply: its rows came in another order when read again")
+                got = _lost(np.frombuffer(unzip.decompress(raw), np.int64).reshape(5, -1), bounds, runs)
+                if len(got[0]):
+                    yield send(got)
 
     def merge(batches):
         unzip, parts = zstandard.ZstdDecompressor(), []
@@ -404,7 +484,13 @@ def removals(found: DataFrame, shares: int) -> DataFrame:
             some = slice(k, k + 20_000)
             yield pa.RecordBatch.from_arrays([pa.array(ids[at][some]), pa.array(h[at][some]), pa.array(spans[some], pa.binary())], ["doc_id", "hash", "spans"])
 
-    runs = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(solve), "share long, runs binary")
+    null = lambda kind: F.lit(None).cast(kind)
+    replies = solved.select("block", "bounds", "runs", null("binary").alias("parse"), null("int").alias("rows"))
+    both = replies.unionByName(parsed.select("block", null("binary").alias("bounds"), null("binary").alias("runs"), "parse", "rows"))
+    # Copies have no block: they are dealt by the task that found them.
+    where = F.when(F.length("block") > 0, F.xxhash64("block")).otherwise(F.xxhash64("rows"))
+    met = both.withColumn("at", where).repartition("at").sortWithinPartitions("block", F.col("parse").isNotNull())
+    runs = met.drop("at").mapInArrow(lean(lose), "share long, runs binary")
     return runs.repartition("share").mapInArrow(lean(merge), "doc_id long, hash long, spans binary")
 
 
@@ -412,27 +498,28 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, hash (of the text), spans: documents with something to remove."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits, total = min(16, max(8, (8 * partitions - 1).bit_length())), bitmap_bits(docs.select("doc_id", "text"))
-    bitmap = spark.sparkContext.broadcast(repeated_triggers(docs, bits, total))
-    return staged(removals(phrases(docs, bitmap, bits, total), 4 * partitions), "spans")
+    bits, total = min(BUCKETS[1], max(BUCKETS[0], (8 * partitions - 1).bit_length())), bitmap_bits(docs.select("doc_id", "text"))
+    bitmap = spark.sparkContext.broadcast(repeated_triggers(docs, min(bits, total - 3), total))
+    solved = solutions(dictionary(docs, bitmap, bits, total))
+    return staged(removals(solved, parses(docs, bitmap, bits, total), 4 * partitions), "spans")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    docs = replayable(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     spans = duplicate_spans(docs)
     size = spans.agg(F.sum(F.length("spans") + 32)).first()[0] or 0
 
     def hashed(batches):
         for batch in batches:
-            h = [xxhash.xxh64_intdigest((t.as_py() or "").encode()) - (1 << 63) for t in batch.column("text")]
+            h = [key_of(xxhash.xxh3_128_digest(t)) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(h, pa.int64())], ["doc_id", "text", "hash"])
 
     def cut(batches):
         for batch in batches:
             out = []
-            for t, raw in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                text, kept, at, lost = (t.as_py() or "").encode(), [], 0, 0
+            for text, raw in zip(texts(batch), batch.column("spans").to_pylist(), strict=True):
+                kept, at, lost = [], 0, 0
                 runs = np.frombuffer(raw or b"", "<i8").reshape(2, -1).T.tolist()
                 for a, b in runs:
                     kept.append(text[at:a])

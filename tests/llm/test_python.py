@@ -213,6 +213,35 @@ def test_small_flushes_and_empty_table(spark, monkeypatch):
     assert suffix.deduplicated(docs(spark, [])).count() == 0
 
 
+def test_one_licence_in_every_document_and_padding(spark, monkeypatch):
+    """A passage that all documents hold is a few phrases for each block; padding is one phrase, cut alike."""
+    rng = random.Random(8)
+    licence = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = [(i, f"{i}" * 20 + licence + "".join(rng.choice("xyz ") for _ in range(rng.randrange(90)))) for i in range(300)]
+    rows += [(1000, "head " + " " * 30_000), (1001, " " * 20_000 + "tail"), (1002, "-" * 9000 + " " * 4095 + "+" + " " * 4200)]
+    monkeypatch.setattr(suffix, "SLICE", 7000)  # long texts come in pieces
+    got = suffix.deduplicated(docs(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=repr) == removed_by_hand(rows)
+    _, _, _, at, end, trigger = suffix.parse([b" " * 1_000_000])
+    assert len(set(trigger.tolist())) == 1 and int((end - at).max()) == suffix.MOST
+
+
+def test_equal_fingerprints_are_told_apart_by_bytes(monkeypatch):
+    monkeypatch.setattr(suffix, "fingerprints", lambda buffer, n, length=50: np.zeros(n, np.uint64))
+    rng = random.Random(2)
+    contents = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(50, 90))) for _ in range(20)]
+    contents += [contents[0][3:55], contents[1] + contents[2]]
+    contents = list(dict.fromkeys(contents))
+    least = np.array([rng.randrange(100) for _ in contents], np.int64)
+    smallest, windows = suffix._least_documents(contents, least)
+    first = {}
+    for c, i in zip(contents, least.tolist(), strict=True):
+        for k in range(len(c) - 49):
+            first[c[k : k + 50]] = min(first.get(c[k : k + 50], i), i)
+    assert smallest.tolist() == [first[c[k : k + 50]] for c in contents for k in range(len(c) - 49)]
+    assert windows.tolist() == [len(c) - 49 for c in contents]
+
+
 def test_phrases_cover_every_window_once():
     rng = random.Random(1)
     texts = [bytes(rng.choice(b"ab") for _ in range(n)) for n in (0, 10, 50, 51, 500)] + [b"a" * 200]
