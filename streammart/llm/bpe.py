@@ -45,6 +45,8 @@ BLOCK_BYTES = 16 << 20
 BUCKET_BYTES, BUCKETS = 32 << 20, (8, 1 << 16)
 #: Words that go to the library at a time.
 CALL = 1024
+#: Positions that are put together at a time (one document at least).
+AT_ONCE = 1 << 18
 SPACE = " \t\n\x0b\f\r"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -235,7 +237,13 @@ def assembled(docs: DataFrame, file: str, result: Callable[[pa.Array, np.ndarray
                 if not full.all():  # words without an id leave no trace
                     ends = np.concatenate([[0], np.cumsum(full)])[ends]
                     at = at[full]
-                yield result(batch.column("doc_ids")[i].values, n, _joined(ids, at, ends), _joined(text, at, ends))
+                doc_ids, begin = batch.column("doc_ids")[i].values, 0
+                while begin < len(ends):  # some documents at a time: strings of all positions are large
+                    first = int(ends[begin - 1]) if begin else 0
+                    end = max(begin + 1, int(np.searchsorted(ends, first + AT_ONCE)))
+                    some, upto = at[first : ends[end - 1]], ends[begin:end] - first
+                    yield result(doc_ids.slice(begin, end - begin), n[begin:end], _joined(ids, some, upto), _joined(text, some, upto))
+                    begin = end
 
     def table_of(got, piece):
         """Of a block's dictionary in order: number of ids, ids as text, pieces as text."""
