@@ -3,8 +3,8 @@
 Every version of a text is addressed by its content (SHA-256). Only blobs that the ledger hasn't yet
 seen under the current rule version are scanned, each once however many paths hold it; findings go
 back to all paths by blob. The ledger lasts: a Parquet table of (rule_version, blob) with the places of
-findings, to which every run appends what it scanned and which the next run reads, whatever table it
-scans; a change of rules is a new rule version, and all is scanned anew.
+findings, to which every run that names it appends what it scanned and which the next run reads, whatever
+table it scans; a change of rules is a new rule version, and all is scanned anew.
 
 Rules: the three base kinds, and two more: ``pem`` (a private-key header) and ``jwt`` (a signed token).
 
@@ -17,6 +17,7 @@ long texts count whole, in time that grows with their length.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,8 +76,11 @@ def versions(docs: DataFrame) -> DataFrame:
 
 
 def ledger_path(spark: SparkSession) -> str:
-    """The lasting ledger: the setting ``streammart.secrets.ledger``, or a folder beside the checkpoints."""
-    return spark.conf.get("streammart.secrets.ledger", None) or f"{scratch_root(spark)}/secret-ledger"
+    """The lasting ledger that the setting ``streammart.secrets.ledger`` names; without it, one of this run's own.
+
+    So a run that names no ledger scans every blob of its table, whatever ran before it.
+    """
+    return spark.conf.get("streammart.secrets.ledger", None) or f"{scratch_root(spark)}/streammart-ledger-{uuid.uuid4().hex}"
 
 
 def read_ledger(spark: SparkSession, path: str, rule_version: str = RULE_VERSION) -> DataFrame | None:

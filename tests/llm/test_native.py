@@ -95,6 +95,13 @@ def test_ledger_lasts(spark, tmp_path):
     assert secrets.record(docs(spark, (4, "x")), path, "r2").count() == size("r2") == 1 and size() == 4
     assert secrets.scan(second, secrets.read_ledger(spark, path, "r1")).count() == 0
     assert secrets.redact(second, path).filter("text = '[SECRET]'").count() == 1
+    assert secrets.ledger_path(spark) != secrets.ledger_path(spark)  # unnamed: nothing from another run
+    spark.conf.set("streammart.secrets.ledger", path)
+    try:
+        assert secrets.record(second).count() == 4 and size(secrets.RULE_VERSION) == 4 and secrets.ledger_path(spark) == path
+        assert secrets.record(docs(spark, (9, "x"))).count() == size(secrets.RULE_VERSION) == 4
+    finally:
+        spark.conf.unset("streammart.secrets.ledger")
 
 
 def test_findings_by_shuffle(spark, monkeypatch):
