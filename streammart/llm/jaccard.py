@@ -329,14 +329,17 @@ def _both(some: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def signatures(found: DataFrame, hot, percent: int) -> DataFrame:
-    """(node, n, bits, tokens) -> node, n, bits and the packed prefixes under the orders after the first."""
+    """(node, n, bits, tokens) -> node, n, bits and the prefixes under the orders after the first.
+
+    A prefix travels as 16 bits of each token: a pair may pass a filter by chance, but never fail it so.
+    """
 
     def run(batches):
         tokens, rank = hot.value
         for batch in batches:
             sets_ = [unpacked(x.as_py()) for x in batch.column("tokens")]
             cuts = [
-                pa.array([packed(np.sort(ordered(x, tokens, rank, k)[: prefix_size(len(x), percent)])) for x in sets_], pa.binary())
+                pa.array([np.unique(ordered(x, tokens, rank, k)[: prefix_size(len(x), percent)].astype("<u2")).tobytes() for x in sets_], pa.binary())
                 for k in range(1, ORDERS)
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "n", "bits")), *cuts], ["node", "n", "bits", *names])
@@ -354,7 +357,7 @@ def passed(pairs: DataFrame, found: DataFrame, hot, percent: int) -> DataFrame:
             for k in range(1, ORDERS):
                 left, right = batch.column(f"prefix{k}_a"), batch.column(f"prefix{k}_b")
                 for i in np.flatnonzero(out == k).tolist():
-                    x, y = unpacked(left[i].as_py()), unpacked(right[i].as_py())
+                    x, y = np.frombuffer(left[i].as_py(), "<u2"), np.frombuffer(right[i].as_py(), "<u2")
                     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                     out[i] += bool((x[at] == y).any())
             bits = (batch.column("bits_a"), batch.column("bits_b"))
