@@ -34,19 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streammart.llm.common import planned_bytes, replayable, small_batches, staged, table
-from streammart.llm.tokens import lean, sliced
+from streammart.llm.tokens import lean, release, sliced
 
 NAME = "op8_bpe_word_table"
 SQL = None
 FILE = "word_bpe_49k.json"
 #: Words of about so many bytes make a block, in whole documents.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Buckets of the word table: one for so many bytes of input, between these bounds.
 BUCKET_BYTES, BUCKETS = 32 << 20, (8, 1 << 16)
 #: Words that go to the library at a time.
 CALL = 1024
 #: Positions that are put together at a time (one document at least).
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 17
 SPACE = " \t\n\x0b\f\r"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -101,6 +101,7 @@ def blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[Block]:
         if held >= BLOCK_BYTES:
             yield Block(ids, sizes, words, buckets)
             ids, sizes, words, held = [], [], [], 0
+            release()
     if ids:
         yield Block(ids, sizes, words, buckets)
 
@@ -129,7 +130,7 @@ def replies(asked: DataFrame, file: str = FILE) -> DataFrame:
 
     def run(batches):
         made, zip_, unzip = tokenizer(file), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, bytes] = {}  # 32-bit ids
         at = None
         for batch in batches:
             for block, bucket, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words")), strict=True):
@@ -140,9 +141,9 @@ def replies(asked: DataFrame, file: str = FILE) -> DataFrame:
                 for i in range(0, len(new), CALL):
                     some = new[i : i + CALL]
                     for w, e in zip(some, made.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, np.int32)
+                        known[w] = np.array(e.ids, np.int32).tobytes()
                 found = [known[w] for w in words]
-                sizes, ids = np.fromiter(map(len, found), np.int32, len(found)), np.concatenate(found)
+                sizes, ids = np.fromiter(map(len, found), np.int32, len(found)) // 4, np.frombuffer(b"".join(found), np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block], pa.binary()),
