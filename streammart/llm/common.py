@@ -15,12 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of whole texts that go to a Python worker at once; Spark's default of 10,000 holds tens of MB
 #: on either side of the pipe for every running task.
 BATCH_ROWS = 1000
+#: Bytes that go at once: rows may hold a megabyte each (long texts, blocks of positions). One row at least goes.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size if it is the default."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lowers the session's Arrow batch limits, in rows and in bytes, if they are the defaults."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size) == "67108864b":
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
