@@ -22,6 +22,7 @@ UTF-8 is read as Java reads it, with U+FFFD in its place.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -129,6 +130,7 @@ def replies(asked: DataFrame, file: str = FILE) -> DataFrame:
     """
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would each hold memory of their own
         made, zip_, unzip = tokenizer(file), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         known: dict[bytes, bytes] = {}  # 32-bit ids
         at = None
