@@ -47,7 +47,7 @@ BUCKET_BYTES, BUCKETS = 32 << 20, (8, 1 << 16)
 #: Words that go to the library at a time.
 CALL = 1024
 #: Positions that are put together at a time (one document at least).
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 15
 SPACE = " \t\n\x0b\f\r"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -189,9 +189,9 @@ def positions(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(lean(run), "block binary, doc_ids array<bigint>, sizes binary, at binary")
 
 
-def _joined(strings: list[bytes], at: np.ndarray, ends: np.ndarray) -> list[bytes]:
+def _joined(strings: pa.Array, at: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """Of each document (positions up to its end), its words' strings with a space between."""
-    taken = pa.array(strings, pa.large_binary()).take(pa.array(at))
+    taken = strings.take(pa.array(at))
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int64)), taken), pa.scalar(b" ", pa.large_binary())).to_pylist()
 
 
@@ -219,6 +219,7 @@ def assembled(docs: DataFrame, file: str, result: Callable[[pa.Array, np.ndarray
                 block, kind = batch.column("block")[i].as_py(), batch.column("kind")[i].as_py()
                 if block != name:
                     name, piece, got, ready = block, {}, {}, None
+                    release()
                 if kind == 0:
                     entry = batch.column("pieces")[i].values
                     piece = dict(zip(entry.field("id").to_pylist(), entry.field("piece").cast(pa.binary()).to_pylist(), strict=True))
@@ -230,6 +231,7 @@ def assembled(docs: DataFrame, file: str, result: Callable[[pa.Array, np.ndarray
                 at, each = _values(payload).astype(np.int64), np.frombuffer(sizes, np.int64)
                 if ready is None:
                     ready = table_of(got, piece)
+                    piece, got = {}, {}
                 counts, ids, text = ready
                 if len(at) and int(at.max()) >= len(counts):
                     raise RuntimeError("a block of documents has no reply: its rows came in another order when read again")
@@ -251,12 +253,12 @@ def assembled(docs: DataFrame, file: str, result: Callable[[pa.Array, np.ndarray
     def table_of(got, piece):
         """Of a block's dictionary in order: number of ids, ids as text, pieces as text."""
         if not got:
-            return np.zeros(0, np.int64), [], []
+            return np.zeros(0, np.int64), pa.array([], pa.large_binary()), pa.array([], pa.large_binary())
         sizes, flat = (np.concatenate([got[b][k] for b in sorted(got)]).astype(np.int64) for k in (0, 1))
         flat, ends = flat.tolist(), np.cumsum(sizes).tolist()
         number = {i: str(i).encode() for i in set(flat)}
         cuts = list(zip([0, *ends[:-1]], ends, strict=True))
-        return sizes, [b" ".join([number[x] for x in flat[a:b]]) for a, b in cuts], [b" ".join([piece[x] for x in flat[a:b]]) for a, b in cuts]
+        return sizes, *(pa.array([b" ".join([name[x] for x in flat[a:b]]) for a, b in cuts], pa.large_binary()) for name in (number, piece))
 
     return rows.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(lean(run), schema)
 
