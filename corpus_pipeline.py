@@ -15,6 +15,8 @@ from streammart.llm.common import staged, table, with_missing
 
 #: Near duplicates: shingles of so many words, similarity of so many percent or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Bytes of words of a block of the token stage: half of the operator's, as other stages have filled the executors.
+TOKEN_BLOCK = 4 << 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -66,7 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of every row of the mixture."""
-    return bpe.digests(with_missing(docs, COLUMNS))
+    return bpe.digests(with_missing(docs, COLUMNS), most=TOKEN_BLOCK)
 
 
 STAGES = [

@@ -75,50 +75,59 @@ def split(docs: DataFrame) -> DataFrame:
 
 
 class Block:
-    """Documents in order, the dictionary of their words by bucket, and every position's place in it."""
+    """Documents in order, the dictionary of their words by bucket, and every position's place in it.
+
+    ``sent`` has each bucket's words, a line each; no word is an object of its own for longer than a call.
+    """
 
     def __init__(self, ids: list, sizes: list, words: list, buckets: int):
         self.ids, self.sizes = pa.concat_arrays(ids), np.concatenate(sizes).astype(np.int64)
-        coded = pa.concat_arrays(words).dictionary_encode()
-        found = coded.dictionary.cast(pa.binary()).to_pylist()
-        self.bucket = np.fromiter(map(zlib.crc32, found), np.uint32, len(found)) % np.uint32(buckets)
-        order = np.argsort(self.bucket, kind="stable")
-        self.words, self.bucket = [found[i] for i in order.tolist()], self.bucket[order]
+        coded = pa.chunked_array(words).unify_dictionaries().chunks
+        found, at = coded[0].dictionary.cast(pa.large_binary()), np.concatenate([c.indices.to_numpy() for c in coded])
+        codes = (zlib.crc32(w) for i in range(0, len(found), CALL) for w in found.slice(i, CALL).to_pylist())
+        bucket = np.fromiter(codes, np.uint32, len(found)) % np.uint32(buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).astype(np.int64)
+        lines = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts), found.take(pa.array(order))), pa.scalar(b"\n", pa.large_binary()))
+        self.buckets = np.flatnonzero(cuts[:-1] < cuts[1:]).tolist()
+        self.sent = [lines[b].as_py() for b in self.buckets]
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        self.at = place[coded.indices.to_numpy()] if len(found) else np.zeros(0, np.uint32)
-        self.name = xxhash.xxh3_128_digest(b"\n".join(self.words))
+        self.at = place[at] if len(found) else np.zeros(0, np.uint32)
+        self.name = xxhash.xxh3_128_digest(b"\n".join(self.sent))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], buckets: int, most: int) -> Iterator[Block]:
+    """Words are numbered slice by slice, so that a block holds numbers and distinct words, not its texts."""
     ids, sizes, words, held = [], [], [], 0
     for batch in sliced(batches, "words"):
         column = batch.column("words")
         flat = column.flatten()
-        ids.append(batch.column("doc_id"))
+        ids.append(batch.column("doc_id").take(pa.array(np.arange(batch.num_rows))))  # a copy: the batch goes
         sizes.append(pc.list_value_length(column).to_numpy(zero_copy_only=False))
-        words.append(flat)
+        words.append(flat.dictionary_encode())
         held += flat.nbytes
-        if held >= BLOCK_BYTES:
-            yield Block(ids, sizes, words, buckets)
+        del batch, column, flat
+        if held >= most:
+            block = Block(ids, sizes, words, buckets)
             ids, sizes, words, held = [], [], [], 0
+            yield block
+            del block
             release()
     if ids:
         yield Block(ids, sizes, words, buckets)
 
 
-def requests(texts: DataFrame, buckets: int) -> DataFrame:
+def requests(texts: DataFrame, buckets: int, most: int | None = None) -> DataFrame:
     """block, bucket, words: each block's distinct words by bucket."""
+    most = most or BLOCK_BYTES
 
     def run(batches):
         zstd = zstandard.ZstdCompressor(level=3)
-        for block in blocks(batches, buckets):
-            cuts = np.searchsorted(block.bucket, np.arange(buckets + 1))
-            some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            sent = [zstd.compress(b"\n".join(block.words[cuts[b] : cuts[b + 1]])) for b in some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block.name] * len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(sent, pa.binary())], ["block", "bucket", "words"]
-            )
+        for block in blocks(batches, buckets, most):
+            name, some, sent = block.name, block.buckets, list(map(zstd.compress, block.sent))
+            del block
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(sent, pa.binary())], ["block", "bucket", "words"])
 
     return texts.mapInArrow(lean(run), "block binary, bucket int, words binary")
 
@@ -170,12 +179,13 @@ def _values(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def positions(texts: DataFrame, buckets: int) -> DataFrame:
+def positions(texts: DataFrame, buckets: int, most: int | None = None) -> DataFrame:
     """block, doc_ids, sizes, at: each block's documents and the places of their words in its dictionary."""
+    most = most or BLOCK_BYTES
 
     def run(batches):
         zstd = zstandard.ZstdCompressor(level=3)
-        for block in blocks(batches, buckets):
+        for block in blocks(batches, buckets, most):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block.name], pa.binary()),
@@ -189,26 +199,29 @@ def positions(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(lean(run), "block binary, doc_ids array<bigint>, sizes binary, at binary")
 
 
-def _joined(strings: pa.Array, at: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """Of each document (positions up to its end), its words' strings with a space between."""
+def _joined(strings: pa.Array, at: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Of each run (places up to its end), its places' strings with a space between."""
     taken = strings.take(pa.array(at))
-    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int64)), taken), pa.scalar(b" ", pa.large_binary())).to_pylist()
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int64)), taken), pa.scalar(b" ", pa.large_binary()))
+
 
+def assembled(docs: DataFrame, file: str, result: Callable[[pa.Array, np.ndarray, list[bytes], list[bytes]], pa.RecordBatch], schema: str, most: int | None = None) -> DataFrame:
+    """Every document's ids and decoded text, given to ``result`` as (doc_ids, counts, ids as text, decoded).
 
-def assembled(docs: DataFrame, file: str, result: Callable[[pa.Array, np.ndarray, list[bytes], list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
-    """Every document's ids and decoded text, given to ``result`` as (doc_ids, counts, ids as text, decoded)."""
+    Smaller blocks (``most`` bytes of words) hold less memory and send a word more often.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     texts = split(replayable(docs))
     buckets = min(BUCKETS[1], max(BUCKETS[0], planned_bytes(docs) // BUCKET_BYTES))
-    found = staged(replies(requests(texts, buckets), file), "replies")
+    found = staged(replies(requests(texts, buckets, most), file), "replies")
     used = found.select("block", F.explode("used").alias("id")).distinct().join(F.broadcast(pieces(spark, file)), "id")
     null = lambda kind: F.lit(None).cast(kind)
     names = used.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
     rows = (
         names.select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), null("binary").alias("sizes"), null("binary").alias("payload"), null("array<bigint>").alias("doc_ids"), "pieces")
         .unionByName(found.select("block", F.lit(1).alias("kind"), "bucket", "sizes", F.col("ids").alias("payload")), allowMissingColumns=True)
-        .unionByName(positions(texts, buckets).select("block", F.lit(2).alias("kind"), F.lit(0).alias("bucket"), "sizes", F.col("at").alias("payload"), "doc_ids"), allowMissingColumns=True)
+        .unionByName(positions(texts, buckets, most).select("block", F.lit(2).alias("kind"), F.lit(0).alias("bucket"), "sizes", F.col("at").alias("payload"), "doc_ids"), allowMissingColumns=True)
     )
 
     def run(batches):
@@ -228,7 +241,8 @@ def assembled(docs: DataFrame, file: str, result: Callable[[pa.Array, np.ndarray
                 if kind == 1:  # blocks of equal dictionaries have equal replies: one counts
                     got[batch.column("bucket")[i].as_py()] = (_values(sizes), _values(payload))
                     continue
-                at, each = _values(payload).astype(np.int64), np.frombuffer(sizes, np.int64)
+                at, each = _values(payload), np.frombuffer(sizes, np.int64)
+                del payload
                 if ready is None:
                     ready = table_of(got, piece)
                     piece, got = {}, {}
@@ -236,10 +250,12 @@ def assembled(docs: DataFrame, file: str, result: Callable[[pa.Array, np.ndarray
                 if len(at) and int(at.max()) >= len(counts):
                     raise RuntimeError("a block of documents has no reply: its rows came in another order when read again")
                 ends = np.cumsum(each)
-                upto = np.concatenate([[0], np.cumsum(counts[at])]) if len(at) else np.zeros(1, np.int64)
+                upto = np.zeros(len(at) + 1, np.int64)
+                if len(at):
+                    np.cumsum(counts[at], out=upto[1:])
                 n = upto[ends] - upto[ends - each]
-                full = counts[at] > 0
-                if not full.all():  # words without an id leave no trace
+                if len(at) and not counts.all():  # words without an id leave no trace
+                    full = counts[at] > 0
                     ends = np.concatenate([[0], np.cumsum(full)])[ends]
                     at = at[full]
                 doc_ids, begin = batch.column("doc_ids")[i].values, 0
@@ -247,18 +263,19 @@ def assembled(docs: DataFrame, file: str, result: Callable[[pa.Array, np.ndarray
                     first = int(ends[begin - 1]) if begin else 0
                     end = max(begin + 1, int(np.searchsorted(ends, first + AT_ONCE)))
                     some, upto = at[first : ends[end - 1]], ends[begin:end] - first
-                    yield result(doc_ids.slice(begin, end - begin), n[begin:end], _joined(ids, some, upto), _joined(text, some, upto))
+                    yield result(doc_ids.slice(begin, end - begin), n[begin:end], _joined(ids, some, upto).to_pylist(), _joined(text, some, upto).to_pylist())
                     begin = end
 
     def table_of(got, piece):
         """Of a block's dictionary in order: number of ids, ids as text, pieces as text."""
         if not got:
             return np.zeros(0, np.int64), pa.array([], pa.large_binary()), pa.array([], pa.large_binary())
-        sizes, flat = (np.concatenate([got[b][k] for b in sorted(got)]).astype(np.int64) for k in (0, 1))
-        flat, ends = flat.tolist(), np.cumsum(sizes).tolist()
-        number = {i: str(i).encode() for i in set(flat)}
-        cuts = list(zip([0, *ends[:-1]], ends, strict=True))
-        return sizes, *(pa.array([b" ".join([name[x] for x in flat[a:b]]) for a, b in cuts], pa.large_binary()) for name in (number, piece))
+        sizes, flat = (np.concatenate([got[b][k] for b in sorted(got)]) for k in (0, 1))
+        sizes = sizes.astype(np.int64)
+        once, flat = np.unique(flat, return_inverse=True)
+        ends, flat = np.cumsum(sizes), flat.astype(np.uint32)
+        strings = ([str(i).encode() for i in once.tolist()], [piece[i] for i in once.tolist()])
+        return sizes, *(_joined(pa.array(some, pa.large_binary()), flat, ends) for some in strings)
 
     return rows.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(lean(run), schema)
 
@@ -273,14 +290,14 @@ def encode(docs: DataFrame, file: str = FILE) -> DataFrame:
     return assembled(docs, file, result, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, file: str = FILE) -> DataFrame:
+def digests(docs: DataFrame, file: str = FILE, most: int | None = None) -> DataFrame:
     """(doc_id, text) -> counts and digests of ids and decoded text."""
 
     def result(doc_ids, n, ids, decoded):
         sha = [pa.array([hashlib.sha256(x).hexdigest() for x in some], pa.string()) for some in (ids, decoded)]
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(n.astype(np.int64)), *sha], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return assembled(docs, file, result, DIGESTS)
+    return assembled(docs, file, result, DIGESTS, most)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
