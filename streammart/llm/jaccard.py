@@ -36,6 +36,8 @@ NAME = "op4_jaccard_orders"
 WORDS, PERCENT, ORDERS = 4, 85, 3
 #: Frequent tokens: at most so many, with at least so many copies counted within partitions.
 HOT_TOKENS, HOT_COPIES = 200_000, 16
+#: Words whose hashes are remembered at a time (any others are hashed again), and bytes of text shingled at a time.
+HASHED_WORDS, TEXT_BYTES = 1 << 16, 1 << 20
 #: Rows of a bucket that each wave pairs with all after them, from and to.
 WAVES = ((0, 2), (2, 1 << 40))
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -52,29 +54,32 @@ class Hashes(dict):
     """word -> 64-bit hash, each word hashed once while it stays in the table."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > HASHED_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
 def shingle_sets(found: list[bytes], words: int, known: Hashes) -> list[np.ndarray]:
-    """The sorted distinct 64-bit shingles of each text."""
-    split = [t.lower().split() for t in found]
-    flat = np.fromiter((known[w] for ws in split for w in ws), np.uint64, sum(map(len, split)))
+    """The sorted distinct 64-bit shingles of each text; the words of one text at a time are objects."""
+    parts, short = [], {}
+    for i, t in enumerate(found):
+        ws = t.lower().split()
+        parts.append(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)))
+        if 0 < len(ws) < words:
+            short[i] = xxhash.xxh64_intdigest(b" ".join(ws), seed=len(ws))
+    flat = np.concatenate([np.zeros(0, np.uint64), *parts])
+    sizes = list(map(len, parts))
+    del parts
     rolled = np.zeros(max(0, len(flat) - words + 1), np.uint64)
     for i in range(words):
         rolled = mix(rolled * _C[0] + flat[i : i + len(rolled)] + _C[i % 4])
     out, at = [], 0
-    for ws in split:
-        n = len(ws)
+    for i, n in enumerate(sizes):
         if n >= words:
             out.append(np.unique(rolled[at : at + n - words + 1]))
-        elif n:
-            one = np.array([xxhash.xxh64_intdigest(b" ".join(ws), seed=n)], np.uint64)
-            out.append(one)
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(np.array([short[i]] if n else [], np.uint64))
         at += n
     return out
 
@@ -134,7 +139,7 @@ def sets(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()) -> Dat
 
     def run(batches):
         known, rid = Hashes(), TaskContext.get().partitionId() << 36
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=TEXT_BYTES):
             found = shingle_sets(list(texts(batch)), words, known)
             cut = [x >> np.uint64(16) for x in found]
             yield pa.RecordBatch.from_arrays(

@@ -18,11 +18,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that none holds much more than SLICE_BYTES of text (one row at least)."""
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that none holds much more than ``size`` bytes of text, SLICE_BYTES if not given (one row at least)."""
     for batch in batches:
         whole = batch.column(column).nbytes
-        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, whole)))
+        rows = max(1, int(batch.num_rows * (size or SLICE_BYTES) / max(1, whole)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
