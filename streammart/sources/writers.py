@@ -44,26 +44,51 @@ def stats_sink(path: str, keys: list[str], drop: tuple[str, ...] = ()):
     return write
 
 
-def rename_folder(spark, source: str, target: str) -> None:
+def _places(spark, path: str):
+    """A table's file system, its folder, and the folder that holds its last state while it is replaced."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    fs = b.getFileSystem(conf)
-    fs.delete(b, True)
-    if not fs.rename(a, b):
-        raise OSError(f"can't move {source} to {target}")
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    before = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}-before")
+    return place.getFileSystem(conf), place, before
+
+
+def restore(spark, path: str) -> None:
+    """After a writer that died in ``replace_folder``: the last state comes back if no table stands."""
+    fs, place, before = _places(spark, path)
+    if fs.exists(before):
+        if fs.exists(place):
+            fs.delete(before, True)
+        elif not fs.rename(before, place):
+            raise OSError(f"can't restore {path}")
+
+
+def replace_folder(spark, source: str, path: str) -> None:
+    """Moves ``source`` to ``path``. Until that is done the table's last state is kept beside it, for ``restore``.
+
+    One writer per table; where renames aren't atomic (object stores) the table needs a catalog instead.
+    """
+    restore(spark, path)
+    fs, place, before = _places(spark, path)
+    if fs.exists(place) and not fs.rename(place, before):
+        raise OSError(f"can't set {path} aside")
+    if not fs.rename(_places(spark, source)[1], place):
+        restore(spark, path)
+        raise OSError(f"can't move {source} to {path}")
+    fs.delete(before, True)
 
 
 def read_if_there(spark, path: str) -> DataFrame | None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if place.getFileSystem(conf).exists(place) else None
+    restore(spark, path)
+    fs, place, _ = _places(spark, path)
+    return spark.read.parquet(path) if fs.exists(place) else None
 
 
 def dimension_sink(root: str, keep_deletes: bool = False):
     """For ``foreachBatch``: upserts routed dimension rows into a Parquet table per sink_table.
 
     All columns are strings, and the last change per key wins. A table is created by its first rows
-    and replaced whole, so that a batch that is repeated gives the same table.
+    and replaced whole, so that a batch that is repeated gives the same table, also after a writer
+    that died halfway.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -82,7 +107,7 @@ def dimension_sink(root: str, keep_deletes: bool = False):
             new = tables.upsert(old, changed, key, order, keep_deletes=keep_deletes).select(*names)
             aside = f"{root}/.{table}-{uuid.uuid4().hex}"
             new.write.parquet(aside)
-            rename_folder(spark, aside, path)
+            replace_folder(spark, aside, path)
         batch.unpersist()
 
     return write
@@ -90,10 +115,11 @@ def dimension_sink(root: str, keep_deletes: bool = False):
 
 def truncate(spark, path: str) -> None:
     """Keeps a table's columns and none of its rows."""
+    restore(spark, path)
     empty = spark.read.parquet(path).limit(0)
     aside = f"{path}-{uuid.uuid4().hex}"
     empty.write.parquet(aside)
-    rename_folder(spark, aside, path)
+    replace_folder(spark, aside, path)
 
 
 def console(rows: DataFrame, checkpoint: str) -> DataStreamWriter:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from streammart.operators import ingest, tables
@@ -62,3 +63,29 @@ def test_dimension_sink_keeps_the_last_change(spark, tmp_path):
         sink(spark.createDataFrame(second, schema), 1)
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/dims/d").collect()] == [("1", "z")]
     assert tables.delete_where(spark.range(3), "id = 1").count() == 2
+
+
+@pytest.mark.parametrize("died", ["before the move", "after the move"])
+def test_a_writer_that_dies_in_the_swap_loses_no_row(spark, tmp_path, died):
+    schema = "sink_table string, sink_columns string, sink_pk string, type string, ts long, data map<string,string>"
+    rows = lambda *some: spark.createDataFrame([("d", "id,name", "id", "insert", 1, {"id": i, "name": n}) for i, n in some], schema)
+    sink = writers.dimension_sink(f"{tmp_path}/dims")
+    table, before = tmp_path / "dims" / "d", tmp_path / "dims" / ".d-before"
+    sink(rows(("1", "a"), ("2", "b")), 0)
+    if died == "before the move":
+        table.rename(before)
+    else:
+        sink(rows(("3", "c")), 1)
+        spark.createDataFrame([("9", "stale")], "id string, name string").write.parquet(str(before))
+    sink(rows(("3", "c")), 1)
+    assert sorted(map(tuple, spark.read.parquet(str(table)).collect())) == [("1", "a"), ("2", "b"), ("3", "c")]
+    assert not before.exists()
+
+
+def test_a_failed_move_puts_the_table_back(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    with pytest.raises(Exception):
+        writers.replace_folder(spark, f"{tmp_path}/nothing", f"{tmp_path}/t")
+    assert writers.read_if_there(spark, f"{tmp_path}/t").count() == 3
+    writers.truncate(spark, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 0
