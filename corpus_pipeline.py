@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streammart.llm import bpe, jaccard, langid, mixing, secrets
-from streammart.llm.common import staged, table, with_missing
+from streammart.llm.common import hand_back, staged, table, with_missing
 
 #: Near duplicates: shingles of so many words, similarity of so many percent or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -20,9 +20,15 @@ TOKEN_BLOCK = 4 << 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def opened(docs: DataFrame) -> DataFrame:
+    """A stage's input; first the executors hand back what the stage before has left in their heaps."""
+    hand_back(docs.sparkSession)
+    return with_missing(docs, COLUMNS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-centroid classifier rejects go; lang becomes the predicted one."""
-    docs = with_missing(docs, COLUMNS)
+    docs = opened(docs)
     return langid.labelled(docs, langid.trained(docs)).filter(~F.col("rejected")).select(
         "doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars"
     )
@@ -35,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows one stays. Rows without a word are in no group and stay.
     """
     key = ["doc_id", "row_key"]
-    docs = with_missing(docs, COLUMNS).withColumn("row_key", F.xxhash64("text"))
+    docs = opened(docs).withColumn("row_key", F.xxhash64("text"))
     groups = jaccard.joined(docs, NEAR_WORDS, NEAR_PERCENT, ("row_key",)).filter("n_shingles > 0")
     rows = staged(groups.groupBy(*key).agg(F.first("root").alias("root"), F.count("*").alias("n")), "rows")
     place = F.struct(F.col("doc_id").isNull().alias("last"), *key)
@@ -57,18 +63,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret that the blob ledger's scan finds is replaced by a mark; no document goes."""
-    return secrets.redact(with_missing(docs, COLUMNS))
+    return secrets.redact(opened(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as many times as the mixture takes it; those it doesn't take go."""
-    docs = with_missing(docs, COLUMNS)
+    docs = opened(docs)
     return mixing.mixed(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of every row of the mixture."""
-    return bpe.digests(with_missing(docs, COLUMNS), most=TOKEN_BLOCK)
+    return bpe.digests(opened(docs), most=TOKEN_BLOCK)
 
 
 STAGES = [

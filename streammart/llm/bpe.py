@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streammart.llm.common import planned_bytes, replayable, small_batches, staged, table
+from streammart.llm.common import hand_back, local, planned_bytes, replayable, small_batches, staged, table
 from streammart.llm.tokens import lean, release, sliced
 
 NAME = "op8_bpe_word_table"
@@ -64,7 +64,8 @@ def tokenizer(file: str = FILE):
 
 def pieces(spark: SparkSession, file: str = FILE) -> DataFrame:
     """id, piece: the vocabulary, one row per entry."""
-    return spark.createDataFrame(sorted(tokenizer(file).get_vocab(with_added_tokens=True).items()), "piece string, id int").select("id", "piece")
+    vocabulary = sorted(tokenizer(file).get_vocab(with_added_tokens=True).items())
+    return local(spark, id=pa.array([n for _, n in vocabulary], pa.int32()), piece=pa.array([p for p, _ in vocabulary], pa.string()))
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -215,6 +216,7 @@ def assembled(docs: DataFrame, file: str, result: Callable[[pa.Array, np.ndarray
     texts = split(replayable(docs))
     buckets = min(BUCKETS[1], max(BUCKETS[0], planned_bytes(docs) // BUCKET_BYTES))
     found = staged(replies(requests(texts, buckets, most), file), "replies")
+    hand_back(spark)
     used = found.select("block", F.explode("used").alias("id")).distinct().join(F.broadcast(pieces(spark, file)), "id")
     null = lambda kind: F.lit(None).cast(kind)
     names = used.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))

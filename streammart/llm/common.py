@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +93,21 @@ def spread(rows: DataFrame, side: DataFrame, keys: list[str], salt: list[str], h
     return dealt.join(side.select("*", salts), [*keys, "salt_"], how).drop("salt_")
 
 
+def local(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A small table of the driver's. A list would go through Python workers of another kind, which then wait beside the others."""
+    return spark.createDataFrame(pa.table(columns))
+
+
+def hand_back(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, after which a JVM returns the heap that it has no use for.
+
+    A heap that has grown in one step is else kept while the Python workers of the next need memory. One task
+    goes to each executor if all are free; those that get none, or ignore such calls, keep what they have.
+    """
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    spark.range(0, executors, 1, executors).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def drop_staged(df: DataFrame) -> None:
     """Removes the files of a table made by ``staged`` that nothing reads any more."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streammart.llm.common import BROADCAST_KEYS, drop_staged, spread, staged, table
+from streammart.llm.common import BROADCAST_KEYS, drop_staged, hand_back, local, spread, staged, table
 from streammart.llm.components import components
 from streammart.llm.tokens import lean, sliced, texts
 
@@ -406,20 +406,24 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keep: tu
     """(doc_id, text, ..) -> doc_id, ``keep`` columns, n_shingles, root (of the component), component_id."""
     spark = docs.sparkSession
     every, found, names = indexed(docs, words, keep)
+    hand_back(spark)
     hot = spark.sparkContext.broadcast(hot_tokens(found))
     held = staged(members(prefixes(found, hot, percent), percent), "members")
+    hand_back(spark)
     links = None
-    roots = spark.createDataFrame([], "node long, root long")
+    roots = local(spark, node=pa.array([], pa.int64()), root=pa.array([], pa.int64()))
     largest = held.agg(F.max("size")).first()[0] or 0
     for low, high in WAVES:
         if largest <= low + 1:
             break
         rows = held.filter(F.col("size") > low + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         pairs = staged(paired(rows, low, high, percent), "pairs")
+        hand_back(spark)
         new = staged(verified(pairs, found, hot, percent), "links")
         drop_staged(pairs)
         links = new if links is None else links.unionByName(new)
         roots = components(links)
+        hand_back(spark)
     # Components are named over distinct sets, whose rows have been counted together; copies come last.
     nodes = staged(names.join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("root"), F.col("node").alias("rid"), "doc_id"), "roots")
     least = staged(nodes.groupBy("root").agg(F.min("doc_id").alias("least")), "least")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from streammart.llm.common import table
+from streammart.llm.common import local, table
 from streammart.llm.tokens import lean, release, sliced, texts
 
 NAME = "op2_language_centroids"
@@ -158,7 +158,7 @@ def trained(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     # A first cut by a hash of doc_id leaves about twice the wanted rows of each language, one at least;
     # the order of digests decides among them.
     cuts = [(r["lang"], max(r["least"], min(1.0, (2 * each + 50) / r["n"]))) for r in sizes]
-    cuts = docs.sparkSession.createDataFrame(cuts, "lang string, upto double")
+    cuts = local(docs.sparkSession, lang=pa.array([c[0] for c in cuts], pa.string()), upto=pa.array([c[1] for c in cuts], pa.float64()))
     near = usable.join(F.broadcast(cuts), "lang").filter(draw <= F.col("upto")).withColumn("key", F.md5(F.concat_ws("|", "id", F.md5("text"))))
     order = W.partitionBy("lang").orderBy("key", "text")
     chosen = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).orderBy("n", "lang").select("text", "lang")

@@ -141,3 +141,24 @@ def test_empty_tables(spark):
 def test_one_query_for_each_operator():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+
+
+def full_collections(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+
+
+def test_executors_hand_back_heap_before_each_stage(spark):
+    """The heap that jaccard_join had grown stayed while bpe_tokens' Python workers took theirs."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    for name, stage in P.STAGES:
+        before = full_collections(spark)
+        stage(spark, docs, DATA)
+        assert full_collections(spark) > before, name
+
+
+def test_driver_tables_start_no_python_workers(spark):
+    """A list given to createDataFrame goes through workers of another kind, which wait beside those of Arrow."""
+    assert "ExistingRDD" not in bpe.pieces(spark)._jdf.queryExecution().toString()
+    vocabulary = bpe.tokenizer().get_vocab(with_added_tokens=True)
+    assert {r["piece"]: r["id"] for r in bpe.pieces(spark).collect()} == vocabulary
